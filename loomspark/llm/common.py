@@ -1,17 +1,21 @@
-"""Helpers shared by the corpus operators: column access, written stages, worker-side chunk caches."""
+"""Helpers shared by the corpus operators: column access, written stages, words of a batch."""
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries a worker keeps in a word cache before it starts afresh; bounds memory, never results.
 CACHE_ENTRIES = 1_000_000
+#: Characters of texts whose words are encoded together (a longer text alone).
+TEXT_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,64 +54,120 @@ def filtered(docs: DataFrame, keep) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-class TokenizerChunks:
-    """Token ids of whole texts through the ``tokenizers`` library, one call per distinct chunk.
+class TokenizerWords:
+    """Token ids of whole texts through the ``tokenizers`` library, every distinct word of a batch encoded once.
 
-    A text is cut only where the tokenizer's own pre-tokenizer always cuts, so joined chunk ids equal the ids of
-    the whole text.  ``spaced`` vocabularies (byte level, a space belongs to the word behind it) cut before a
-    space that stands in front of a visible character; others (white space dropped) cut at spaces and line ends.
+    A text is cut only where the tokenizer's own pre-tokenizer always cuts, so the joined ids of its words equal the
+    ids of the whole text.  ``spaced`` vocabularies (byte level, a space belongs to the word behind it) are cut
+    before a space that stands in front of a visible character; the others (lower case, white space dropped) at
+    spaces, line ends and before a comma or full stop that ends a word.  Words are cut, numbered and put together as
+    Arrow and NumPy columns; the library sees one long string of the distinct words and its ids are cut again at
+    tokens that begin with a space, or at a mark between the words.
     """
 
+    MARK, CUT = "\x01", "\x00"
+
     def __init__(self, path: str, spaced: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
-        self.cache: dict[str, bytes] = {}
         self.odd = re.compile(r" (?=\s|\Z)")
-        self.cut = re.compile(r"(?= \S)")
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(chunks), 4096):
-            for e in self.tokenizer.encode_batch_fast(chunks[i : i + 4096], add_special_tokens=False):
-                out.append(np.array(e.ids, dtype="<u4").tobytes())
-        return out
+        self.before_word = re.compile(r" (?=\S)")
+        self.stops = re.compile(r"(?<=[^\W\d_])([.,])(?=[ \n]|\Z)")
+        self.beyond_latin = re.compile("[^\0-\u024f]")
+        if spaced:
+            vocabulary = self.tokenizer.get_vocab()
+            self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+            for token, i in vocabulary.items():
+                self.begins[i] = token.startswith("\u0120")
+        else:
+            (self.mark,) = self._one(self.MARK)
+
+    def _one(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _cut(self, text: str) -> str:
+        """The text with ``CUT`` at every place where it is cut."""
+        if self.spaced:
+            return self.before_word.sub(self.CUT, text) if self.odd.search(text) else text.replace(" ", self.CUT)
+        if not self.beyond_latin.search(text):
+            text = text.lower()  # beyond these characters case is left to the library
+        return self.stops.sub(f"{self.CUT}\\1", text).replace(" ", self.CUT).replace("\n", self.CUT)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words one after another, and begin and length of each word's."""
+        sizes = np.zeros(len(words), np.int64)
+        alone = {i: self._one(f" {w}" if self.spaced else w) for i, w in enumerate(words) if (" " if self.spaced else self.MARK) in w}
+        plain = [i for i in range(len(words)) if i not in alone] if alone else range(len(words))
+        found = []
+        for a in range(0, len(plain), 20_000):
+            own = [words[i] for i in plain[a : a + 20_000]]
+            if self.spaced:
+                ids = self._one(" " + " ".join(own))
+                begins = np.flatnonzero(self.begins[ids])
+                lengths = np.diff(begins, append=len(ids))
+            else:
+                ids = self._one(f" {self.MARK} ".join(own))
+                marks = np.flatnonzero(ids == self.mark)
+                lengths = np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
+                ids = np.delete(ids, marks)
+            if len(lengths) != len(own):
+                raise ValueError("words and ids do not match")
+            sizes[list(plain[a : a + 20_000])] = lengths
+            found.append(ids)
+        starts = np.zeros(len(words), np.int64)
+        order = np.fromiter(plain, np.int64, len(plain))
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        at = int(sizes[order].sum())
+        for i, ids in alone.items():
+            starts[i], sizes[i] = at, len(ids)
+            at += len(ids)
+            found.append(ids)
+        return np.concatenate(found) if found else np.zeros(0, "<u4"), starts, sizes
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        cache, rows, heads = self.cache, [], []
-        for text in texts:
-            if not self.spaced:
-                rows.append(text.replace("\n", " ").split(" "))
-            elif self.odd.search(text):
-                first, *rest = self.cut.split(text)
-                if first[:1] == " " and first[1:2].strip():
-                    first, rest = "", [first, *rest]
-                heads.append(first)
-                rows.append([x[1:] for x in rest])
-            else:
-                first, *rest = text.split(" ")
-                heads.append(first)
-                rows.append(rest)
-        new = list(set().union(*rows) - self.cache.keys()) if rows else []
-        cache.update(zip(new, self._encode([f" {x}" for x in new] if self.spaced else new)))
-        get = cache.__getitem__
-        if not self.spaced:
-            return [b"".join(map(get, row)) for row in rows]
-        return [head + b"".join(map(get, row)) for head, row in zip(self._encode(heads), rows)]
+        out: list[bytes] = [b""] * len(texts)
+        whole = [i for i, t in enumerate(texts) if self.CUT in t]
+        for i in whole:
+            out[i] = self._one(texts[i]).tobytes()
+        at = [i for i, t in enumerate(texts) if t and self.CUT not in t]
+        if not at:
+            return out
+        rows = pc.split_pattern(pa.array([self._cut(texts[i]) for i in at], pa.large_string()), self.CUT)
+        words = rows.flatten().dictionary_encode()
+        number, bounds = words.indices.to_numpy(), rows.offsets.to_numpy() - rows.offsets[0].as_py()
+        ids, starts, sizes = self._words(words.dictionary.to_pylist())
+        heads = [b""] * len(at)
+        if self.spaced:
+            first = words.dictionary.take(pa.array(number[bounds[:-1]])).to_pylist()
+            heads = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(first, add_special_tokens=False)]
+        step = 256
+        for a in range(0, len(at), step):
+            z = min(a + step, len(at))
+            own = number[bounds[a] : bounds[z]]
+            size = sizes[own]
+            if self.spaced:
+                size[bounds[a:z] - bounds[a]] = 0  # the head stands for itself
+            ends = np.cumsum(size)
+            total = int(ends[-1])
+            flat = ids[np.repeat(starts[own] - (ends - size), size) + np.arange(total)].tobytes()
+            cuts = np.concatenate([[0], ends[bounds[a + 1 : z + 1] - bounds[a] - 1]]) * 4
+            for k in range(z - a):
+                out[at[a + k]] = heads[a + k] + flat[cuts[k] : cuts[k + 1]]
+        return out
 
 
-_ENCODERS: dict[tuple[str, bool], TokenizerChunks] = {}
+_ENCODERS: dict[tuple[str, bool], TokenizerWords] = {}
 
 
-def tokenizer_chunks(path: str, spaced: bool) -> TokenizerChunks:
-    """The worker's encoder for a vocabulary; it outlives a task where Spark reuses the worker."""
+def tokenizer_words(path: str, spaced: bool) -> TokenizerWords:
+    """The worker's encoder for a vocabulary."""
     if (path, spaced) not in _ENCODERS:
-        _ENCODERS[path, spaced] = TokenizerChunks(path, spaced)
+        _ENCODERS[path, spaced] = TokenizerWords(path, spaced)
     return _ENCODERS[path, spaced]
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import doc_columns, slices, tokenizer_chunks
+from .common import TEXT_BYTES, doc_columns, slices, tokenizer_words
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Windows in a block of fragments that are packed together.
@@ -98,7 +98,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        encoder = tokenizer_chunks(tokenizer_path, True)
+        encoder = tokenizer_words(tokenizer_path, True)
         base = TaskContext.get().partitionId() << 40
         used, rows, small, held = 0, [], [], 0
 
@@ -119,7 +119,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
 
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j in slices(texts):
+            for i, j in slices(texts, TEXT_BYTES):
                 for doc, own in zip(ids[i:j], encoder.encode(texts[i:j])):
                     own += end
                     total = len(own) // 4
