@@ -23,11 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_columns, shared_dir, slices, tokenizer_chunks
+from .common import TEXT_BYTES, doc_columns, shared_dir, slices, tokenizer_words
 
 #: Bytes of frames in a block.
 BLOCK_BYTES = 1 << 20
-#: The dictionary: documents it is trained on (a bounded sample, in the order of a hash of their text) and its size.
+#: The dictionary: documents it is trained on (a bounded sample by a hash of doc_id, at most twice as many) and its size.
 SAMPLE_DOCS, DICTIONARY_BYTES = 1000, 64 << 10
 
 BLOCKS = "part int, block int, before long, low long, high long, n_ids long, doc_ids array<long>, counts array<long>, offsets array<long>, dict_sha256 string, frames binary"
@@ -46,9 +46,11 @@ def _widen(raw: bytes, width: int) -> bytes:
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, width: int, sample_docs: int = SAMPLE_DOCS) -> bytes:
     """A zstandard dictionary from at most ``sample_docs`` documents; empty where they are too few to train one."""
-    rows = doc_columns(docs).where(F.length("text") <= 20_000).orderBy(F.xxhash64("text"), "doc_id").limit(sample_docs).select("text").collect()
+    share = min(1.0, sample_docs / max(1, docs.count()))
+    own = doc_columns(docs).where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)) & (F.length("text") <= 20_000))
+    rows = own.select("text").limit(2 * sample_docs).collect()
     end = np.array([end_id], dtype="<u4").tobytes()
-    samples = [_serialize(x + end, width) for x in tokenizer_chunks(tokenizer_path, False).encode([r.text for r in rows])]
+    samples = [_serialize(x + end, width) for x in tokenizer_words(tokenizer_path, False).encode([r.text for r in rows])]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) >= 8 else b""
     except zstandard.ZstdError:
@@ -66,7 +68,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, leve
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        encoder = tokenizer_chunks(tokenizer_path, False)
+        encoder = tokenizer_words(tokenizer_path, False)
         zdict = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         packer = zstandard.ZstdCompressor(level=level, dict_data=zdict, write_content_size=True)
         part = TaskContext.get().partitionId()
@@ -81,7 +83,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, leve
 
         for b in batches:
             docs_, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j in slices(texts):
+            for i, j in slices(texts, TEXT_BYTES):
                 for doc, own in zip(docs_[i:j], encoder.encode(texts[i:j])):
                     own += end
                     frames.append(packer.compress(_serialize(own, width)))
