@@ -6,10 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .projection import Graph, oracle
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None, graph: bool = True):
+    """Register a function of the projected graph; ``sql`` is its oracle, behind the projection's views if ``graph``."""
+
+    def add(f: Callable[[Graph], DataFrame]):
+        _QUERIES[name] = lambda spark, sf_dir: f(Graph(spark, sf_dir))
+        if sql is not None:
+            _ORACLES[name] = oracle(sql) if graph else sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from . import queries_graph, queries_recall, queries_rules, queries_store  # noqa: F401
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_ORACLES)
