@@ -119,20 +119,22 @@ def _stars(names: list, root: np.ndarray) -> tuple[list, list]:
 
 
 def sketched(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, key (for finding the text again), cls (of equal sets; null without words), size, sketch."""
+    """doc_id, key (for finding the text again), print (a hash of the text), cls (of equal sets; null without words),
+    size, sketch."""
 
     def run(batches):
         for b in batches:
             cls, sizes, sketches = [], [], []
-            for text in b.column(2).to_pylist():
+            for text in b.column(3).to_pylist():
                 own = shingles(text, n)
                 sizes.append(len(own))
                 cls.append(xxhash.xxh3_128_hexdigest(own.tobytes()) if len(own) else None)
                 sketches.append(sketch(own).tobytes() if len(own) else None)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(cls, pa.string()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "key", "cls", "size", "sketch"])
+            yield pa.record_batch([*b.columns[:3], pa.array(cls, pa.string()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "key", "print", "cls", "size", "sketch"])
 
     own = doc_columns(docs)
-    return own.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("key"), "text").mapInArrow(run, "doc_id long, key long, cls string, size long, sketch binary")
+    own = own.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("key"), F.xxhash64("text").alias("print"), "text")
+    return own.mapInArrow(run, "doc_id long, key long, print long, cls string, size long, sketch binary")
 
 
 def _loose(classes: DataFrame, similarity: float, least: int, times: int, task_bucket: int) -> DataFrame:
@@ -189,6 +191,11 @@ def links(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float =
     a null ``doc_id`` stays null and is never a class_id unless all of its class have none; an empty table gives no
     row; other columns are ignored.
     """
+    return _linked(docs, n, similarity, recall, task_bucket, task_shingles).drop("print")
+
+
+def _linked(docs: DataFrame, n: int, similarity: float, recall: float = 0.998, task_bucket: int = TASK_BUCKET, task_shingles: int = TASK_SHINGLES) -> DataFrame:
+    """The rows of ``links`` with a hash of each text."""
     spark = docs.sparkSession
     rows = written(sketched(docs, n), spark, "sketches")
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("key").alias("key"), F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("size").alias("size"), F.min("sketch").alias("sketch"))
@@ -252,8 +259,8 @@ def links(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float =
     joined = classes.select("cls", "first", "copies").join(found.select("cls", "links", "top"), "cls", "left").withColumn("top", F.coalesce("top", "cls"))
     firsts = joined.groupBy("top").agg(F.min("first").alias("class_id"))
     answer = joined.join(firsts, "top").select("cls", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = rows.select("doc_id", "cls").join(answer, "cls", "left")
-    return out.select("doc_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = rows.select("doc_id", "print", "cls").join(answer, "cls", "left")
+    return out.select("doc_id", "print", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_firsts(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -262,7 +269,7 @@ def keep_firsts(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFra
     Of repeated rows (equal doc_id and text) one stays; documents without doc_id stay where no other of their group
     has one, one for each text.
     """
-    firsts = links(docs, n, similarity).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_first")).distinct()
+    firsts = _linked(docs, n, similarity).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_first"), F.col("print").alias("_print")).distinct()
     own = docs.withColumn("_text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    kept = own.join(firsts, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    kept = own.join(firsts, F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("_text") == F.col("_print")), "left_semi")
     return kept.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
