@@ -13,17 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries a worker keeps in a word cache before it starts afresh; bounds memory, never results.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 600_000
 #: Characters of texts whose words are encoded together (a longer text alone).
 TEXT_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a setting of our own only where none is given (tests)."""
+    """A fresh folder below ``spark.checkpoint.dir``; a folder of our own only on one machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file:///tmp/loomspark-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file:///tmp/loomspark-checkpoints"  # one machine, as in tests
     return f"{base.rstrip('/')}/loom-{uuid.uuid4().hex}"
 
 
@@ -76,8 +77,8 @@ class TokenizerWords:
         self.spaced = spaced
         self.odd = re.compile(r" (?=\s|\Z)")
         self.before_word = re.compile(r" (?=\S)")
-        self.stops = re.compile(r"(?<=[^\W\d_])([.,])(?=[ \n]|\Z)")
-        self.beyond_latin = re.compile("[^\0-\u024f]")
+        self.stops = re.compile("(?<=[^\\W\\d_\u0130])([.,])(?=[ \\n]|\\Z)")  # the lower case of U+0130 ends in a mark
+        self.beyond_latin = re.compile("[\u0130\u0250-\U0010ffff]")
         if spaced:
             vocabulary = self.tokenizer.get_vocab()
             self.begins = np.zeros(max(vocabulary.values()) + 1, bool)

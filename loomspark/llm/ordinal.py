@@ -136,7 +136,7 @@ def _rows(rows: list, features: TextFeatures) -> tuple[np.ndarray, np.ndarray, n
 def fit(rows: list, features: TextFeatures, least_docs: int = 10, least_z: float = 5.0, l2: float = 3e-3, rounds: int = 250) -> OrdinalModel | None:
     """Fit on sampled rows with ``text`` and ``grade``; None where fewer than two grades occur.
 
-    Kept are the features of at least ``least_docs`` texts (or a quarter of a small sample) whose presence differs by
+    Kept are the features of at least ``least_docs`` texts (fewer, but three, in a small sample) whose presence differs by
     ``least_z`` standard errors between the two sides of some threshold.
     """
     grades = sorted({int(r.grade) for r in rows})
@@ -153,7 +153,7 @@ def fit(rows: list, features: TextFeatures, least_docs: int = 10, least_z: float
         high = y >= k
         p = high.mean()
         z = (np.bincount(d_col, weights=high[d_at], minlength=total) - df * p) / np.sqrt(np.maximum(df * p * (1 - p), 1e-9))
-        keep |= (np.abs(z) >= min(least_z, sqrt(len(y)) / 4)) & (df >= min(least_docs, max(1, len(y) // 4)))
+        keep |= (np.abs(z) >= min(least_z, sqrt(len(y)) / 4)) & (df >= min(least_docs, max(3, len(y) // 100)))
     kept = np.flatnonzero(keep)
     where = np.full(total, -1)
     where[kept] = np.arange(len(kept))

@@ -15,9 +15,11 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import CACHE_ENTRIES, doc_columns, slices
+from .common import doc_columns, slices
 
 SPACE = "▁"
+#: Words, and parts, that a worker keeps before it starts afresh; bounds memory, never results.
+KNOWN = 1_000_000
 #: Longest part whose agenda is a plain list; its score where a pair is no piece.
 SHORT, WORST = 20, float("inf")
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -126,9 +128,9 @@ class PieceAgenda:
         return tuple(out)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        if len(self.words) > CACHE_ENTRIES:
+        if len(self.words) > KNOWN:
             self.words.clear()
-        if len(self.parts) > CACHE_ENTRIES:
+        if len(self.parts) > KNOWN:
             self.parts.clear()
         words, out = self.words, []
         for text in texts:
