@@ -19,7 +19,11 @@ SELECT 5000000000 + l_orderkey * 64 + row_number() OVER (PARTITION BY l_orderkey
 FROM {lineitem}"""
 
 NODES = """
-SELECT 1000000000 + c_custkey AS id, 'HttpContract' AS kind,
+SELECT id, kind, CASE WHEN kind = 'CallSite' AND id % 11 = 0 THEN 'header_' ELSE '' END || name AS name, fqn, side, has_handler, in_loop, category, language, sub,
+       CASE WHEN kind = 'CallSite' AND id % 11 = 0 THEN 'header("Access-Control-Allow-Origin: " . $origin)' END AS snippet,
+       CASE WHEN kind = 'HeaderAssignment' AND id % 2 = 0 THEN 'Access-Control-Allow-Origin' END AS key,
+       CASE WHEN kind = 'HeaderAssignment' AND id % 3 = 0 THEN 'request()->header(origin)' END AS rhs
+FROM (SELECT 1000000000 + c_custkey AS id, 'HttpContract' AS kind,
        CASE c_custkey % 5 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' WHEN 2 THEN 'PUT' WHEN 3 THEN 'PATCH' ELSE 'DELETE' END || ' /' ||
        CASE c_custkey % 7 WHEN 0 THEN 'list' WHEN 1 THEN 'delete' WHEN 2 THEN 'reset' WHEN 3 THEN 'show' WHEN 4 THEN 'clear' WHEN 5 THEN 'save' ELSE 'find' END || '/' || CAST(c_custkey AS VARCHAR(20)) AS name,
        CAST(NULL AS VARCHAR(200)) AS fqn, CASE WHEN c_mktsegment IN ('BUILDING', 'HOUSEHOLD') THEN 'frontend' ELSE 'backend' END AS side,
@@ -32,7 +36,8 @@ UNION ALL SELECT id, 'CallSite', 'call_' || CAST(id AS VARCHAR(20)), 'order_' ||
 UNION ALL SELECT DISTINCT 6000000000 + user_id, 'Function', 'user_' || CAST(user_id AS VARCHAR(20)), NULL, NULL, false, false, NULL, 'javascript', user_id % 25 FROM {events}
 UNION ALL SELECT 7000000000 + n_nationkey, 'ConfigKey', n_name, NULL, NULL, false, false, NULL, 'php', CAST(n_nationkey AS BIGINT) FROM {nation}
 UNION ALL SELECT 8000000000 + r_regionkey, 'EventBus', r_name, NULL, NULL, false, false, NULL, 'javascript', CAST(0 AS BIGINT) FROM {region}
-UNION ALL SELECT DISTINCT 9000000000 + length(event_type), 'Event', event_type, NULL, NULL, false, false, NULL, 'php', CAST(0 AS BIGINT) FROM {events}"""
+UNION ALL SELECT DISTINCT 9000000000 + length(event_type), 'Event', event_type, NULL, NULL, false, false, NULL, 'php', CAST(0 AS BIGINT) FROM {events}
+UNION ALL SELECT 9500000000 + n_nationkey, 'HeaderAssignment', n_name, NULL, NULL, false, false, NULL, 'php', CAST(n_nationkey AS BIGINT) FROM {nation}) t"""
 
 EDGES = """
 SELECT 'HandledBy' AS kind, 1000000000 + o_custkey AS from_id, 2000000000 + o_orderkey AS to_id, CAST(1.0 AS DOUBLE) AS confidence FROM {orders} WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'

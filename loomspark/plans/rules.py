@@ -174,8 +174,8 @@ def check(facts: DataFrame, rules: list[Rule], config: dict[str, dict] | None =
     if not chosen:
         return facts.select(F.lit("").alias("rule_id"), F.lit("").alias("severity"), F.col("id").alias("node_id"), F.lit("").alias("message")).where("false")
     hits = [F.when(hit(r, config.get(r.id)), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), message(r, config.get(r.id)).alias("message"))) for r in chosen]
-    kinds = sorted({k for r in chosen for k in r.kinds})
-    found = facts.where(F.col("kind").isin(*kinds)).select("id", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("hit"))
+    kinds = sorted({k.lower() for r in chosen for k in r.kinds})
+    found = facts.where(F.lower("kind").isin(*kinds)).select("id", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("hit"))
     return found.select("hit.rule_id", "hit.severity", F.col("id").alias("node_id"), "hit.message")
 
 
@@ -245,6 +245,14 @@ RULES = [
     _marked("sql-injection-where-interp", "critical", "tainted_where", ("php",)),
     _marked("raw-sql-unknown-source", "warning", "tainted_raw_unknown", ("php",)),
     _marked("where-sql-unknown-source", "warning", "tainted_where_unknown", ("php",)),
+    Rule(
+        "cors-reflect-origin", "error", ("CallSite", "HeaderAssignment"),
+        ({"any_of": [
+            {"all_of": [{"name_contains": "header"}, {"property_contains": {"name": "snippet", "substring": "access-control-allow-origin"}}, {"property_contains": {"name": "snippet", "substring": "$"}}]},
+            {"all_of": [{"property_is": {"name": "key", "value": "access-control-allow-origin"}}, {"property_contains": {"name": "rhs", "substring": "origin"}}]},
+        ]},),
+        "{name} answers with the request's own origin", languages=("php",),
+    ),
     _marked("sign-compare-loose", "warning", "weak_sign_compare", ("php",)),
     _marked("sign-weak-hash", "info", "weak_sign_hash", ("php",)),
     Rule("eventbus-emitted-without-listener", "info", ("EventBus",), ({"has_incoming": "Emits"}, {"no_incoming": "ListensTo"}), "{name} has no listener"),

@@ -2,11 +2,11 @@ import pytest
 
 from loomspark.plans.rules import RULES, Rule, check, missing_requirements, parameter, undeclared, wide_facts
 
-NODES = "id long, kind string, name string, fqn string, side string, has_handler boolean, in_loop boolean, category string, language string, sub long"
+NODES = "id long, kind string, name string, fqn string, side string, has_handler boolean, in_loop boolean, category string, language string, sub long, snippet string, key string, rhs string"
 
 
 def facts(spark, nodes, edges=(), marks=()):
-    n = spark.createDataFrame([(*x, *[None] * (10 - len(x))) for x in nodes], NODES)
+    n = spark.createDataFrame([(*x, *[None] * (13 - len(x))) for x in nodes], NODES)
     e = spark.createDataFrame(list(edges), "kind string, from_id long, to_id long")
     m = spark.createDataFrame(list(marks), "node_id long, channel string, kind string")
     return wide_facts(n, e, m)
