@@ -173,7 +173,9 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     keyed = doc_columns(docs).withColumn("tie", F.xxhash64("text"))
     ordered = keyed.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").select("doc_id", "text")
-    done = written(ordered.mapInArrow(run, f"{COLUMNS}, part int, edge int, edge_id long, edge_text string"), spark, "fingerprints")
+    done = ordered.mapInArrow(run, f"{COLUMNS}, part int, edge int, edge_id long, edge_text string")
+    prints = ("fingerprint", "edited_fingerprint")
+    done = written(done.withColumns({c: F.unhex(c) for c in prints}), spark, "fingerprints").withColumns({c: F.lower(F.hex(c)) for c in prints})
     # two texts of each partition are left over: its last meets the first of the next partition that has rows
     parts = sorted(r.part for r in done.where("edge = 1").select("part").collect())
     following = spark.createDataFrame(list(zip(parts, [*parts[1:], *parts[:1]])), "part int, other int")
