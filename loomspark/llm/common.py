@@ -56,7 +56,8 @@ def filtered(docs: DataFrame, keep) -> DataFrame:
 
 
 class TokenizerWords:
-    """Token ids of whole texts through the ``tokenizers`` library, every distinct word of a batch encoded once.
+    """Token ids of whole texts through the ``tokenizers`` library, every distinct word encoded once while
+    the worker remembers it.
 
     A text is cut only where the tokenizer's own pre-tokenizer always cuts, so the joined ids of its words equal the
     ids of the whole text.  ``spaced`` vocabularies (byte level, a space belongs to the word behind it) are cut
@@ -86,6 +87,24 @@ class TokenizerWords:
                 self.begins[i] = token.startswith("\u0120")
         else:
             (self.mark,) = self._one(self.MARK)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.starts, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of distinct words in ``starts`` and ``sizes``; new words are encoded, all at once."""
+        if len(self.known) > CACHE_ENTRIES:
+            self._forget()
+        known = self.known
+        if new := [w for w in words if w not in known]:
+            ids, starts, sizes = self._words(new)
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            self.starts = np.concatenate([self.starts, starts + len(self.ids)])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.ids = np.concatenate([self.ids, ids])
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def _one(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -140,11 +159,12 @@ class TokenizerWords:
             return out
         rows = pc.split_pattern(pa.array([self._cut(texts[i]) for i in at], pa.large_string()), self.CUT)
         words = rows.flatten().dictionary_encode()
-        number, bounds = words.indices.to_numpy(), rows.offsets.to_numpy() - rows.offsets[0].as_py()
-        ids, starts, sizes = self._words(words.dictionary.to_pylist())
+        place, bounds = words.indices.to_numpy(), rows.offsets.to_numpy() - rows.offsets[0].as_py()
+        number = self._numbers(words.dictionary.to_pylist())[place]
+        ids, starts, sizes = self.ids, self.starts, self.sizes
         heads = [b""] * len(at)
         if self.spaced:
-            first = words.dictionary.take(pa.array(number[bounds[:-1]])).to_pylist()
+            first = words.dictionary.take(pa.array(place[bounds[:-1]])).to_pylist()
             heads = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(first, add_special_tokens=False)]
         step = 256
         for a in range(0, len(at), step):
