@@ -17,13 +17,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, written
+from .common import doc_columns, slices, written
 from .components import components
-from .shingles import WIDTH, pair_counts, shingles, sketch
+from .shingles import WIDTH, forget_words, pair_counts, shingles, sketch
 
 #: A bucket compared by brute force; paths below a split; members of a bucket that one task takes; shingles of a
-#: group that one task takes (larger groups are compared in a grid of blocks).
-LEAF, BRANCHES, TASK_BUCKET, TASK_SHINGLES = 128, 3, 50_000, 2_000_000
+#: group that one task takes (larger groups are compared in a grid of blocks); sets compared at once in a task.
+LEAF, BRANCHES, TASK_BUCKET, TASK_SHINGLES, TILE = 128, 3, 50_000, 2_000_000, 1024
 DEEPEST = 4
 
 
@@ -107,6 +107,35 @@ def descend(sketches: np.ndarray, at: np.ndarray, path: int, least: int, root: n
                 descend(sketches, group, int(child(path, p, sketches[group[:1], p])[0]), least, root, depth + 1)
 
 
+def _linked_tiles(sets: list[np.ndarray], pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float):
+    """(rows, columns, linked) of each tile of the row sets and column sets in ``pairs``; a set is never its own link.
+
+    Where rows and columns are the same, a tile below the diagonal is left out.
+    """
+    sizes = np.array([len(s) for s in sets], float)
+    for rows, columns in pairs:
+        same = rows is columns
+        for a in range(0, len(rows), TILE):
+            for b in range(a if same else 0, len(columns), TILE):
+                r, c = rows[a : a + TILE], columns[b : b + TILE]
+                both = pair_counts([sets[i] for i in r], [sets[i] for i in c])
+                yield r, c, (both >= similarity * (sizes[r, None] + sizes[None, c] - both) - 1e-9) & (r[:, None] != c[None])
+
+
+def compare_sets(sets: list[np.ndarray], copies: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each set the copies of all sets linked to it and the first set that links lead to, tile by tile."""
+    counts, top = np.zeros(len(sets), np.int64), np.arange(len(sets))
+    for rows, columns, linked in _linked_tiles(sets, pairs, similarity):
+        counts[rows] += linked @ copies[columns]
+        if rows[0] != columns[0]:
+            counts[columns] += copies[rows] @ linked
+        for i in np.flatnonzero(linked.any(1)):
+            tops = np.unique(top[np.append(columns[linked[i]], rows[i])])
+            if len(tops) > 1:
+                top[np.isin(top, tops)] = tops[0]
+    return counts, top
+
+
 def _stars(names: list, root: np.ndarray) -> tuple[list, list]:
     """Edges from each member to its group's first."""
     a, b = [], []
@@ -125,8 +154,8 @@ def sketched(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
         for b in batches:
             cls, sizes, sketches = [], [], []
-            for text in b.column(3).to_pylist():
-                own = shingles(text, n)
+            for text in b.column(3):
+                own = shingles(text.as_py(), n)
                 sizes.append(len(own))
                 cls.append(xxhash.xxh3_128_hexdigest(own.tobytes()) if len(own) else None)
                 sketches.append(sketch(own).tobytes() if len(own) else None)
@@ -213,14 +242,16 @@ def _linked(docs: DataFrame, n: int, similarity: float, recall: float = 0.998, t
 
     def again(batches):
         for b in batches:
-            cls, keep, sets = b.column(1).to_pylist(), [], []
-            for i, text in enumerate(b.column(0).to_pylist()):
-                own = shingles(text, n)
-                if len(own) and xxhash.xxh3_128_hexdigest(own.tobytes()) == cls[i]:
-                    keep.append(i)
-                    sets.append(own.tobytes())
-            kept = b.take(pa.array(keep, pa.int64()))
-            yield pa.record_batch([*kept.columns[1:], pa.array(sets, pa.binary())], names=["cls", "copies", "label", "blocks", "own"])
+            for start, end in slices(b.column(0)):
+                part = b.slice(start, end - start)
+                cls, keep, sets = part.column(1).to_pylist(), [], []
+                for i, text in enumerate(part.column(0)):
+                    own = shingles(text.as_py(), n)
+                    if len(own) and xxhash.xxh3_128_hexdigest(own.tobytes()) == cls[i]:
+                        keep.append(i)
+                        sets.append(own.tobytes())
+                kept = part.take(pa.array(keep, pa.int64()))
+                yield pa.record_batch([*kept.columns[1:], pa.array(sets, pa.binary())], names=["cls", "copies", "label", "blocks", "own"])
 
     sets = near.select("text", "cls", "copies", "label", "blocks").mapInArrow(again, "cls string, copies long, label string, blocks long, own binary")
     sets = sets.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
@@ -234,19 +265,14 @@ def _linked(docs: DataFrame, n: int, similarity: float, recall: float = 0.998, t
         for at, c in enumerate(table["cls"].to_pylist()):
             firsts.setdefault(c, at)
         table = table.take(pa.array(list(firsts.values()), pa.int64()))
+        forget_words()
         names, copies, block = table["cls"].to_pylist(), table["copies"].to_numpy(), table["block"].to_numpy()
         own = [np.frombuffer(x, np.uint64) for x in table["own"].to_pylist()]
-        sizes = np.array([len(x) for x in own], float)
-        both = pair_counts(own)
-        linked = both >= similarity * (sizes[:, None] + sizes[None] - both) - 1e-9
-        np.fill_diagonal(linked, False)
-        if key[1].as_py() != key[2].as_py():  # between two blocks: pairs inside one belong to its own cell
-            linked &= block[:, None] != block[None]
-        counts = (linked * copies[None]).sum(1)
-        root = np.arange(len(names))
-        for i in np.flatnonzero(linked.any(1)):
-            _join(root, np.concatenate([[i], np.flatnonzero(linked[i])]))
-        tops = [names[_find(root, i)] for i in range(len(names))]
+        i, j = key[1].as_py(), key[2].as_py()
+        rows = np.flatnonzero(block == i)
+        # between two blocks: pairs inside one belong to its own cell
+        counts, top = compare_sets(own, copies, [(rows, rows if i == j else np.flatnonzero(block == j))], similarity)
+        tops = [names[t] for t in top.tolist()]
         return pa.table([pa.array(names), pa.array(counts, pa.int64()), pa.array(tops), table["blocks"]], schema=schema)
 
     compared = cells.groupBy("label", "i", "j").applyInArrow(compare, "cls string, links long, top string, blocks long")

@@ -46,11 +46,9 @@ def filtered(docs: DataFrame, keep) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = [t or "" for t in b.column(at).to_pylist()]
-            mask: list[bool] = []
-            for i, j in slices(texts):
-                mask += keep(texts[i:j])
-            yield b.filter(pa.array(mask, pa.bool_()))
+            for i, j in slices(b.column(at)):
+                part = b.slice(i, j - i)
+                yield part.filter(pa.array(keep([t or "" for t in part.column(at).to_pylist()]), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -192,13 +190,15 @@ def tokenizer_words(path: str, spaced: bool) -> TokenizerWords:
     return _ENCODERS[path, spaced]
 
 
-def slices(texts: list[str], most_bytes: int = 4 << 20):
-    """Index ranges of at most ``most_bytes`` characters (a longer text alone), to bound a worker's memory."""
+def slices(texts: list[str] | pa.Array, most_bytes: int = 4 << 20):
+    """Index ranges of at most ``most_bytes`` characters, or bytes of an Arrow column (a longer text alone), to bound
+    a worker's memory."""
+    sizes = map(len, texts) if isinstance(texts, list) else pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     start, size = 0, 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > most_bytes:
+    for i, own in enumerate(sizes):
+        if size and size + own > most_bytes:
             yield start, i
             start, size = i, 0
-        size += len(text)
+        size += own
     if start < len(texts):
         yield start, len(texts)

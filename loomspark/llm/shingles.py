@@ -44,6 +44,11 @@ def shingles(text: str, n: int = 5) -> np.ndarray:
     return np.unique(h)
 
 
+def forget_words() -> None:
+    """Give back the memory of remembered words."""
+    _WORDS.clear()
+
+
 def sketch(own: np.ndarray) -> np.ndarray:
     """Minimum hashes of a set, 16 bits of each; two sets agree at a position with their Jaccard similarity."""
     low = np.full(WIDTH, np.iinfo(np.uint64).max, np.uint64)
@@ -55,28 +60,37 @@ def sketch(own: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(48)).astype(np.uint16)
 
 
-def pair_counts(sets: list[np.ndarray], split: int = 64) -> np.ndarray:
-    """Sizes of all intersections: pairs are counted shingle by shingle where few sets share one, else by products."""
-    m = len(sets)
-    out = np.zeros(m * m)
-    owner = np.repeat(np.arange(m), [len(s) for s in sets])
-    values = np.concatenate(sets) if m else np.zeros(0, np.uint64)
-    order = np.argsort(values, kind="stable")
-    owner, values = owner[order], values[order]
-    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-    sizes = np.diff(np.concatenate([starts, [len(values)]])) if len(values) else starts
-    for d in np.unique(sizes[(sizes > 1) & (sizes <= split)]):
-        i, j = np.triu_indices(d, 1)
-        step = max(1, 2_000_000 // len(i))
-        own = starts[sizes == d]
-        for a in range(0, len(own), step):
-            group = owner[own[a : a + step, None] + np.arange(d)]
-            out += np.bincount((group[:, i] * m + group[:, j]).ravel(), minlength=m * m)
-    out = out.reshape(m, m)
-    wide = np.flatnonzero(sizes > split)
-    for a in range(0, len(wide), 4096):
-        there = np.zeros((m, min(4096, len(wide) - a)), np.float32)
-        for c, g in enumerate(wide[a : a + 4096]):
-            there[owner[starts[g] : starts[g] + sizes[g]], c] = 1
-        out += np.triu(there @ there.T, 1)
-    return out + out.T
+def pair_counts(left: list[np.ndarray], right: list[np.ndarray], split: int = 64) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set (sorted, distinct values).
+
+    Shingles that up to ``split`` right sets hold are counted pair by pair, the others by products.
+    """
+    m, k = len(left), len(right)
+    out = np.zeros((m, k), np.float32)
+    if not (m and k):
+        return out
+    l_owner, r_owner = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right))
+    l_value, r_value = np.concatenate(left), np.concatenate(right)
+    order = np.argsort(r_value, kind="stable")
+    r_owner, r_value = r_owner[order], r_value[order]
+    low, high = np.searchsorted(r_value, l_value, "left"), np.searchsorted(r_value, l_value, "right")
+    held = high - low
+    few = np.flatnonzero((held > 0) & (held <= split))
+    step = 4_000_000 // split
+    for a in range(0, len(few), step):
+        at = few[a : a + step]
+        n = held[at]
+        ends = np.cumsum(n)
+        there = np.repeat(low[at] - (ends - n), n) + np.arange(ends[-1])
+        out += np.bincount(np.repeat(l_owner[at] * k, n) + r_owner[there], minlength=m * k).reshape(m, k)
+    many = np.flatnonzero(held > split)
+    starts, number = np.unique(low[many], return_inverse=True)
+    for a in range(0, len(starts), 2048):
+        width = min(2048, len(starts) - a)
+        own = (number >= a) & (number < a + width)
+        x, y = np.zeros((m, width), np.float32), np.zeros((k, width), np.float32)
+        x[l_owner[many[own]], number[own] - a] = 1
+        for c, begin in enumerate(starts[a : a + width].tolist()):
+            y[r_owner[begin : np.searchsorted(r_value, r_value[begin], "right")], c] = 1
+        out += x @ y.T
+    return out

@@ -65,6 +65,26 @@ def test_join_equals_brute_force(spark, limits):
     assert got == brute_links(rows)
 
 
+@pytest.mark.parametrize("tile", [3, 1024])
+def test_tiles_equal_brute_force(tile, monkeypatch):
+    monkeypatch.setattr(chosen_path, "TILE", tile)
+    rng = np.random.default_rng(11)
+    base = rng.choice(10_000, 60, replace=False)
+    sets = [np.unique(np.concatenate([np.delete(base, rng.choice(60, rng.integers(0, 9), replace=False)), rng.choice(10_000, 4)])).astype(np.uint64) for _ in range(90)]
+    copies = rng.integers(1, 4, 90)
+    true = [{j for j in range(90) if j != i and len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))} for i in range(90)]
+    counts, top = np.zeros(90, np.int64), np.arange(90)
+    for i in range(90):
+        for j in true[i]:
+            top[top == max(top[i], top[j])] = min(top[i], top[j])
+        counts[i] = sum(copies[j] for j in true[i])
+    whole, half = np.arange(90), (np.arange(0, 90, 2), np.arange(1, 90, 2))
+    got = chosen_path.compare_sets(sets, copies, [(whole, whole)], 0.8)
+    assert 0 < sum(map(len, true)) < 90 * 89 and np.array_equal(got[0], counts) and np.array_equal(got[1], top)
+    got = chosen_path.compare_sets(sets, copies, [half, (half[0], half[0]), (half[1], half[1])], 0.8)
+    assert np.array_equal(got[0], counts) and np.array_equal(got[1], top)
+
+
 def test_join_of_nothing(spark):
     empty = spark.createDataFrame([], DOCS)
     assert chosen_path.links(empty).count() == 0 and chosen_path.keep_firsts(empty).count() == 0
