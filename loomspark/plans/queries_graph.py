@@ -21,7 +21,7 @@ _STEP = f"s AS (SELECT from_id, to_id FROM edges WHERE kind IN ({sql_list(CHAIN_
 @query("reach_from_contracts", f", {_STEP}, r(source, node, depth) AS (SELECT id, id, 0 FROM nodes WHERE kind = 'HttpContract' AND id % 10 = 0 UNION SELECT source, to_id, depth + 1 FROM r JOIN s ON from_id = node WHERE depth < 4) SELECT source, node, min(depth) AS depth FROM r GROUP BY source, node")
 def reach(g: Graph):
     own = g.edges.where(F.col("kind").isin(*CHAIN_EDGES))
-    return graph.reach(own, g.nodes.where("kind = 'HttpContract' AND id % 10 = 0"), 4)
+    return graph.reach(own, g.nodes.where("kind = 'HttpContract'"), 4)
 
 
 @query("subgraph_two_hops", f", {_STEP}, u AS (SELECT from_id, to_id FROM s UNION SELECT to_id, from_id FROM s), r(source, node, depth) AS (SELECT id, id, 0 FROM nodes WHERE kind = 'Cache' UNION SELECT source, to_id, depth + 1 FROM r JOIN u ON from_id = node WHERE depth < 2) SELECT source, node, min(depth) AS depth FROM r GROUP BY source, node")
@@ -54,8 +54,8 @@ def longest(g: Graph):
 
 @query("simple_paths", ", e AS (SELECT from_id, to_id FROM edges WHERE kind IN ('HandledBy', 'Calls')), r(a, node, path) AS (SELECT id, id, [id] FROM nodes WHERE kind = 'HttpContract' AND id % 20 = 0 UNION ALL SELECT a, to_id, list_append(path, to_id) FROM r JOIN e ON from_id = node WHERE len(path) <= 3 AND NOT list_contains(path, to_id)), p AS (SELECT id AS a, max(to_id) AS b FROM nodes JOIN edges ON edges.kind = 'HandledBy' AND from_id = id WHERE nodes.kind = 'HttpContract' AND id % 20 = 0 GROUP BY id), f AS (SELECT r.a, node AS b, path, row_number() OVER (PARTITION BY r.a, node ORDER BY len(path), path) AS place FROM r JOIN p ON p.a = r.a AND p.b = node) SELECT a, b, array_to_string(path, '>') AS path FROM f WHERE place <= 4 AND len(path) > 1")
 def paths(g: Graph):
-    pairs = g.edges.where("kind = 'HandledBy' AND from_id % 20 = 0").groupBy(F.col("from_id").alias("a")).agg(F.max("to_id").alias("b"))
-    found = graph.simple_paths(g.edges.where("kind IN ('HandledBy', 'Calls')"), pairs, 3)
+    pairs = g.edges.where("kind = 'HandledBy'").groupBy(F.col("from_id").alias("a")).agg(F.max("to_id").alias("b"))
+    found = graph.simple_paths(g.edges.where("kind IN ('HandledBy', 'Calls')"), pairs)
     return found.select("a", "b", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 

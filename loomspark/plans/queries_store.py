@@ -33,7 +33,7 @@ for _d, _c in (("out", "from_id"), ("in", "to_id")):
 
     @query(f"edges_{_d}_of_tables_and_methods", f"SELECT kind, from_id, to_id FROM edges WHERE {_c} IN (SELECT id FROM nodes WHERE kind = 'Table' OR (kind = 'Method' AND id % 7 = 0))")
     def edges_of(g: Graph, d=_d):
-        return store.edges_of(g.edges, g.nodes.where("kind = 'Table' OR (kind = 'Method' AND id % 7 = 0)").select("id"), d).select("kind", "from_id", "to_id")
+        return store.edges_of(g.edges, g.nodes.where("kind IN ('Table', 'Method')").select("id"), d).select("kind", "from_id", "to_id")
 
 
 @query("chain_adjacency", f"SELECT node, direction, semantic, count(*) AS n FROM (SELECT from_id AS node, 'out' AS direction, kind IN ({sql_list(SEMANTIC_EDGES)}) AS semantic FROM edges WHERE kind IN ({sql_list(CHAIN_EDGES)}) UNION ALL SELECT to_id, 'in', kind IN ({sql_list(SEMANTIC_EDGES)}) FROM edges WHERE kind IN ({sql_list(CHAIN_EDGES)})) GROUP BY node, direction, semantic")
@@ -100,7 +100,7 @@ def external(g: Graph):
 @query("contract_bridge", "SELECT f.id AS from_id, b.id AS to_id FROM nodes f JOIN nodes b ON f.kind = 'HttpContract' AND b.kind = 'HttpContract' AND f.side = 'frontend' AND b.side = 'backend' AND f.sub <> b.sub AND regexp_replace(f.name, '/\\d+$', '') = regexp_replace(b.name, '/\\d+$', '') WHERE f.id % 50 = 0")
 def contract_bridge(g: Graph):
     own = g.nodes.where("kind = 'HttpContract'").select("id", "sub", "side", F.regexp_replace("name", r"/\d+$", "").alias("name"))
-    return bridge(own.where("side = 'backend' OR id % 50 = 0")).select("from_id", "to_id")
+    return bridge(own).select("from_id", "to_id")
 
 
 @query("fan_in_four_ways", f"SELECT to_id AS id, count(*) FILTER (WHERE kind IN ({sql_list(SEMANTIC_EDGES)})) AS semantic, count(*) AS every, count(DISTINCT from_id) FILTER (WHERE kind IN ({sql_list(SEMANTIC_EDGES)})) AS neighbours, least(count(*) FILTER (WHERE kind IN ({sql_list(CHAIN_EDGES)})), 20) AS chain FROM edges GROUP BY to_id")
