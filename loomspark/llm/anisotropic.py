@@ -3,7 +3,7 @@
 Vectors are cut into two-dimensional parts, each quantised to one of 16 centres (four bits).  The quantisation error
 parallel to a vector costs ``eta`` times the error across it, for that is the part that moves large inner products.
 Queries and vectors meet in cells of a grid, block by block: a cell scans its codes through per-query tables of two
-codes to the byte, keeps the best ``depth`` of the block, and reranks those exactly in double precision.
+codes to the byte, and reranks in double precision every row that quantised score and residual do not rule out.
 
 Equal vectors are one entry with its smallest ids, as many as any result could name, so a vector that a third of the
 rows share neither fills a cell nor loses a result.
@@ -99,28 +99,55 @@ def pack_codes(codes: np.ndarray) -> np.ndarray:
 
 
 def scan(book: Codebook, packed: np.ndarray, x: np.ndarray, queries: np.ndarray, k: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and exact scores of the best ``k`` of ``x`` for each query, from the best ``depth`` by table scan."""
+    """Rows and exact scores of the best ``k`` of ``x`` for each query, ties to the earlier row.
+
+    The best ``depth`` by table scan give a score that the k-th best reaches at least; every row whose quantised score
+    and residual do not rule that score out is then scored exactly.  So ``depth`` moves the work, never the result.
+    """
     n = len(x)
     k, depth = min(k, n), min(max(depth, k), n)
     rows, scores = np.zeros((len(queries), k), np.int64), np.zeros((len(queries), k))
     columns = [np.ascontiguousarray(packed[:, b]) for b in range(packed.shape[1])]
+    along, across, norms = residuals(book, packed, x)
+    lowest = along * norms / np.maximum(np.hypot(along * norms, across), 1e-300)
     qs = book.pad(queries).reshape(len(queries), -1, WIDTH)
     for i in range(len(queries)):
+        q = queries[i]
+        at = np.arange(n)
         if depth < n:
             tables = np.einsum("md,mcd->mc", qs[i], book.centres).astype(np.float32)
             both = (tables[1::2, :, None] + tables[0::2, None, :]).reshape(-1, 256)
             near = both[0].take(columns[0])
             for b in range(1, len(columns)):
                 near += both[b].take(columns[b])
-            at = np.argpartition(near, n - depth)[n - depth :]
-        else:
-            at = np.arange(n)
-        exact = x[at] @ queries[i]
+            first = np.argpartition(near, n - depth)[n - depth :]
+            reached = np.partition(x[first] @ q, depth - k)[depth - k]
+            # a row of cosine c has a quantised score of at least along * |q| |x| c - across * |q| sqrt(1 - c * c)
+            size = np.sqrt(q @ q)
+            slack = 1e-5 * float(np.abs(tables).max(1).sum()) + 1e-9 * size * norms  # rounding of the sums
+            c = np.minimum(np.maximum((reached - slack) / np.maximum(size * norms, 1e-300), -lowest), 1)
+            least = size * (along * norms * c - across * np.sqrt(np.maximum(0, 1 - c * c)))
+            at = np.flatnonzero(~((near < least - slack) | (size * norms < reached - slack)))
+        exact = x[at] @ q
+        if k < len(at):
+            cut = np.partition(exact, len(at) - k)[len(at) - k]
+            at = at[exact >= cut - 1e-9 * max(1e-300, abs(cut), np.sqrt(q @ q) * norms[at].max())]
+        exact = (x[at] * q).sum(1)  # summed in one order, so that equal scores are equal
         best = np.argsort(-exact, kind="stable")[:k]
         rows[i], scores[i] = at[best], exact[best]
     return rows, scores
 
 
+def residuals(book: Codebook, packed: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row: its code's share along the row (1 for no parallel error), the code's length across it, its norm."""
+    codes = np.empty((len(x), 2 * packed.shape[1]), np.uint8)
+    codes[:, 0::2], codes[:, 1::2] = packed & 15, packed >> 4
+    norms = np.sqrt((x * x).sum(1))
+    code, own = book.centres[np.arange(codes.shape[1])[None], codes].reshape(len(x), -1), book.pad(x)
+    along = (code * own).sum(1) / np.maximum(norms * norms, 1e-300)
+    return along, np.sqrt(((code - along[:, None] * own) ** 2).sum(1)), norms
+
+
 def _vectors(column) -> np.ndarray:
     """A list column as a matrix."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -183,6 +210,7 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, depth: int = 250) -> D
     def cell(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return found_schema.empty_table()
+        left = left.sort_by("item")  # ties go to the smaller id
         x, q = _vectors(left["v"]), _vectors(right["v"])
         packed = np.frombuffer(b"".join(left["code"].to_pylist()), np.uint8).reshape(len(x), -1)
         ids, asked_ids, vectors = left["ids"].to_pylist(), right["query"].to_pylist(), right["v"].to_pylist()

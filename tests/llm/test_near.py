@@ -170,6 +170,32 @@ def test_search_recall_and_exact_scores(spark):
     assert hits / (20 * len(found)) >= 0.9
 
 
+def test_search_inside_tight_clusters(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4, 16))[rng.integers(0, 4, 4000)] + 0.01 * rng.normal(size=(4000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[1] = x[0]
+    found = defaultdict(list)
+    for r in anisotropic.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), every=200).collect():
+        found[r.query_id].append((r["rank"], r.vec_id))
+    for q in range(0, 4000, 200):
+        s = x @ x[q]
+        assert [i for _, i in sorted(found[q])] == [i for i in sorted(range(4000), key=lambda i: (-round(s[i], 13), i)) if i != q][:20]
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.2, 0.9])
+def test_scan_is_exact_at_any_depth(threshold):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 10)) * rng.uniform(0.01, 3, (1500, 1)) + rng.normal(size=10) * 0.3
+    book = anisotropic.fit(x, threshold)
+    packed = anisotropic.pack_codes(book.assign(book.pad(x)))
+    queries = np.concatenate([x[:30], -x[:10], np.zeros((1, 10)), rng.normal(size=(9, 10)) * 100])
+    for k, depth in ((5, 5), (20, 60), (1400, 1450)):
+        rows, scores = anisotropic.scan(book, packed, x, queries, k, depth)
+        true = np.sort(x @ queries.T, axis=0)[::-1][:k].T
+        assert np.allclose(scores, true, atol=1e-12) and all(len(set(r)) == k for r in rows.tolist())
+
+
 def test_search_of_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.5, 0.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in anisotropic.search(few).orderBy("rank").collect()] == [(0, 1, 1, 0.5), (0, 2, 2, 0.5)]
