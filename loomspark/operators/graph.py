@@ -36,28 +36,41 @@ def reach(edges: DataFrame, sources: DataFrame, max_depth: int, direction: str =
     return known
 
 
-def closure(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(source, node, depth) of the transitive closure over all starting nodes, without depth 0."""
-    starts = edges.select(F.col("from_id").alias("id")).distinct()
-    return reach(edges, starts, max_rounds).where("depth > 0")
+def closure(edges: DataFrame) -> DataFrame:
+    """(source, node, depth) of the transitive closure over all starting nodes, without depth 0.
+
+    Depths double: a pair at depth d above ``half`` is one at depth ``half`` exactly and one of at most ``half``.
+    """
+    pairs = edges.select(F.col("from_id").alias("source"), F.col("to_id").alias("node")).where("source <> node").distinct()
+    known, half = stage(pairs.withColumn("depth", F.lit(1))), 1
+    while True:
+        on = known.select(F.col("source").alias("node"), F.col("node").alias("next"), F.col("depth").alias("more"))
+        found = known.where(F.col("depth") == half).select("source", "node").join(on, "node").where("source <> next")
+        found = found.groupBy("source", F.col("next").alias("node")).agg((F.min("more") + half).alias("depth"))
+        new = stage(found.join(known, ["source", "node"], "left_anti"))
+        if new.isEmpty():
+            return known
+        known, half = known.unionByName(new), 2 * half
 
 
-def best_products(edges: DataFrame, sources: DataFrame, max_rounds: int = 64) -> DataFrame:
+def best_products(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, node, confidence): the largest product of confidences over reverse paths (callers) from each source.
 
     Semi-naive: only pairs that improved in a round are joined in the next; confidences are at most 1, so it ends.
+    Greater ones are refused, for a cycle of them has no largest product.
     """
+    if not edges.where("confidence > 1").isEmpty():
+        raise ValueError("confidences above 1 have no largest product on a cycle")
     step = stage(edges.groupBy(F.col("to_id").alias("node"), F.col("from_id").alias("next")).agg(F.max("confidence").alias("c")))
     known = stage(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(1.0).alias("confidence")).distinct())
     frontier = known
-    for _ in range(max_rounds):
+    while True:
         found = frontier.join(step, "node").groupBy("source", F.col("next").alias("node")).agg(F.max(F.col("confidence") * F.col("c")).alias("new"))
         better = found.join(known, ["source", "node"], "left").where("confidence IS NULL OR new > confidence + 1e-12")
         frontier = stage(better.select("source", "node", F.col("new").alias("confidence")))
         if frontier.isEmpty():
-            break
+            return known
         known = stage(known.unionByName(frontier).groupBy("source", "node").agg(F.max("confidence").alias("confidence")))
-    return known
 
 
 def propagate(edges: DataFrame, kinds: list[str], skip: tuple[str, ...] = ("CallsHttp",)) -> DataFrame:
@@ -85,18 +98,27 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def longest_depth(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(node, depth): edges on the longest path that ends at a node; cycles are cut at ``max_rounds``."""
+def longest_depth(edges: DataFrame) -> DataFrame:
+    """(node, depth): edges on the longest path that ends at a node.
+
+    Nodes without an open incoming edge are taken round by round; a node's round is its depth.  Raises where nodes are
+    left that all have one: on a cycle, or behind it, no path is the longest.
+    """
     step = stage(edges.select("from_id", "to_id").distinct())
+    into = step.groupBy(F.col("to_id").alias("node")).agg(F.count("*").alias("open"))
     nodes = step.select(F.col("from_id").alias("node")).union(step.select("to_id")).distinct()
-    known = stage(nodes.select("node", F.lit(0).alias("depth")))
-    frontier = known
-    for _ in range(max_rounds):
-        found = frontier.join(step, frontier.node == step.from_id).groupBy(F.col("to_id").alias("node")).agg((F.max("depth") + 1).alias("new"))
-        frontier = stage(found.join(known, "node").where("new > depth").select("node", F.col("new").alias("depth")))
-        if frontier.isEmpty():
+    left = stage(nodes.join(into, "node", "left").select("node", F.coalesce("open", F.lit(0)).alias("open")))
+    known, depth = left.where("false").select("node", F.lit(0).alias("depth")), 0
+    while True:
+        taken = left.where("open = 0").select("node", F.lit(depth).alias("depth"))
+        if taken.isEmpty():
             break
-        known = stage(known.unionByName(frontier).groupBy("node").agg(F.max("depth").alias("depth")))
+        known = stage(known.unionByName(taken))
+        less = taken.join(step, taken.node == step.from_id).groupBy(F.col("to_id").alias("node")).agg(F.count("*").alias("less"))
+        rest = left.where("open > 0").join(less, "node", "left")
+        left, depth = stage(rest.select("node", (F.col("open") - F.coalesce("less", F.lit(0))).alias("open"))), depth + 1
+    if not left.isEmpty():
+        raise ValueError(f"no longest path: {left.count()} nodes lie on a cycle or behind one, such as {left.first().node}")
     return known
 
 

@@ -1,10 +1,13 @@
 """Queries over whole tables, against plain Python on the smallest tables."""
 
+import random
 import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
+from loomspark.operators import graph
 from loomspark.operators.kinds import CHAIN_EDGES
 from loomspark.plans import registry
 from loomspark.plans.projection import Graph
@@ -69,3 +72,37 @@ def test_simple_paths_of_all_contracts_to_eight_hops(spark, parts):
         true += [(a, b, ">".join(map(str, p))) for p in found[:4]]
     assert max(p.count(">") for _, _, p in true) > 3
     assert rows(spark, "simple_paths", "a", "b", "path") == sorted(true)
+
+
+def chain(spark, n):
+    return spark.range(n).selectExpr("'Calls' AS kind", "id AS from_id", "id + 1 AS to_id", "1.0D AS confidence")
+
+
+def test_closure_has_no_limit_and_least_depths(spark):
+    found = {(r.source, r.node): r.depth for r in graph.closure(chain(spark, 210)).collect()}
+    assert found == {(a, b): b - a for a in range(211) for b in range(a + 1, 211)}
+    rng = random.Random(6)
+    pairs = {(rng.randrange(25), rng.randrange(25)) for _ in range(40)}
+    true = {}
+    for source in {a for a, _ in pairs}:
+        depth, level, d = {source: 0}, {source}, 0
+        while level := {b for a, b in pairs if a in level} - depth.keys():
+            d += 1
+            depth.update(dict.fromkeys(level, d))
+        true |= {(source, node): d for node, d in depth.items() if d}
+    edges = spark.createDataFrame([("Calls", a, b, 1.0) for a, b in pairs], "kind string, from_id long, to_id long, confidence double")
+    assert {(r.source, r.node): r.depth for r in graph.closure(edges).collect()} == true
+
+
+def test_propagation_reaches_every_caller(spark):
+    write = spark.createDataFrame([("WritesDb", 67, 900, 0.5)], "kind string, from_id long, to_id long, confidence double")
+    found = graph.propagate(chain(spark, 67).union(write), ["WritesDb"])
+    assert sorted(r.from_id for r in found.collect()) == list(range(67))
+    with pytest.raises(ValueError):
+        graph.best_products(chain(spark, 2).withColumn("confidence", F.lit(1.5)), spark.range(1))
+
+
+def test_longest_depth_has_no_limit_and_refuses_cycles(spark):
+    assert {r.node: r.depth for r in graph.longest_depth(chain(spark, 67)).collect()} == {i: i for i in range(68)}
+    with pytest.raises(ValueError, match="2 nodes"):
+        graph.longest_depth(spark.createDataFrame([(0, 1), (1, 2), (2, 1)], "from_id long, to_id long"))
