@@ -98,6 +98,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def semantic_value(edges: DataFrame, centres: DataFrame, semantic: DataFrame) -> DataFrame:
+    """(source, value) for every centre (id): ``semantic`` nodes (id) at the end of an edge from the centre, from its
+    neighbours either way, or from those one step further out.  Without the reference's budget of 400 nodes."""
+    step = stage(edges.select(F.col("from_id").alias("node"), F.col("to_id").alias("next")).distinct())
+    own = centres.select(F.col("id").alias("source")).distinct()
+    out = step.select(F.col("node").alias("source"), F.col("next").alias("node")).join(own, "source", "left_semi")
+    into = step.select(F.col("next").alias("source"), "node").join(own, "source", "left_semi")
+    second = stage(out.union(into).distinct().join(step, "node").select("source", F.col("next").alias("node")).distinct())
+    third = second.join(step, "node").select("source", F.col("next").alias("node"))
+    found = out.union(second).union(third).join(semantic.select(F.col("id").alias("node")).distinct(), "node", "left_semi").distinct()
+    return own.join(found.groupBy("source").agg(F.count("*").alias("value")), "source", "left").select("source", F.coalesce("value", F.lit(0)).alias("value"))
+
+
 def longest_depth(edges: DataFrame) -> DataFrame:
     """(node, depth): edges on the longest path that ends at a node.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph
-from ..operators.kinds import CHAIN_EDGES, sql_list
+from ..operators.kinds import CHAIN_EDGES, SEMANTIC_NODES, sql_list
 from .projection import Graph
 from .registry import query
 
@@ -73,6 +73,4 @@ def fold(g: Graph):
 
 @query("semantic_value", f", {_STEP}, u AS (SELECT from_id, to_id FROM s UNION SELECT to_id, from_id FROM s), r(source, node, depth) AS (SELECT id, id, 0 FROM nodes WHERE kind = 'Queue' UNION SELECT source, to_id, depth + 1 FROM r JOIN u ON from_id = node WHERE depth < 2) SELECT source, count(DISTINCT node) AS value FROM r JOIN nodes ON id = node WHERE kind IN ('Table', 'HttpContract', 'ConfigKey', 'Cache', 'Queue', 'EventBus') AND node <> source GROUP BY source")
 def semantic_value(g: Graph):
-    near = graph.reach(g.edges.where(F.col("kind").isin(*CHAIN_EDGES)), g.nodes.where("kind = 'Queue'"), 2, "both").where("source <> node")
-    kinds = g.nodes.where("kind IN ('Table', 'HttpContract', 'ConfigKey', 'Cache', 'Queue', 'EventBus')").select(F.col("id").alias("node"))
-    return near.join(kinds, "node").groupBy("source").agg(F.count("*").alias("value"))
+    return graph.semantic_value(g.edges.where(F.col("kind").isin(*CHAIN_EDGES)), g.nodes, g.nodes.where(F.col("kind").isin(*SEMANTIC_NODES)))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspark.operators import graph
-from loomspark.operators.kinds import CHAIN_EDGES
+from loomspark.operators.kinds import CHAIN_EDGES, SEMANTIC_NODES
 from loomspark.plans import registry
 from loomspark.plans.projection import Graph
 
@@ -106,3 +106,19 @@ def test_longest_depth_has_no_limit_and_refuses_cycles(spark):
     assert {r.node: r.depth for r in graph.longest_depth(chain(spark, 67)).collect()} == {i: i for i in range(68)}
     with pytest.raises(ValueError, match="2 nodes"):
         graph.longest_depth(spark.createDataFrame([(0, 1), (1, 2), (2, 1)], "from_id long, to_id long"))
+
+
+def test_semantic_value_of_every_node(spark, parts):
+    nodes, edges = parts
+    out = ends(edges, CHAIN_EDGES)
+    into = ends([(k, b, a) for k, a, b in edges], CHAIN_EDGES)
+    true = []
+    for centre in nodes:  # breadth first, as the reference walks
+        ring, queue, found = {centre: 0} | {n: 1 for n in into[centre] if n != centre}, [centre, *(into[centre] - {centre})], set()
+        for node in queue:
+            if ring[node] < 3:
+                found |= {n for n in out[node] if n in nodes and nodes[n].kind in SEMANTIC_NODES}
+                queue += [n for n in out[node] if n not in ring]
+                ring |= {n: ring[node] + 1 for n in out[node] if n not in ring}
+        true.append((centre, len(found)))
+    assert rows(spark, "semantic_value", "source", "value") == sorted(true)
