@@ -9,17 +9,39 @@ from pyspark.sql import DataFrame
 
 from .common import doc_columns
 
+# What may stand in front of a licence's name: any subject, and the usual verbs.
+_UNDER = r"(?!.*\b(?:not|never)\b)(?:.* )?(?:is |are |be )?(?:dual )?(?:licensed|released|distributed|available|published|provided|covered|used|copied) under (?:the )?(?:terms (?:and conditions )?of )?(?:either )?(?:the |an? )?"
+_VERSION = r",? ?(?:(?:version|v) ?)?(?P<name>{})(?: 0)?(?: only|,? or,? (?:at your option,? )?(?:any )?later(?: version)?)?(?: license)?(?: as published by the free software foundation)?"
+_HEADER = r"(?:.* )?(?:redistribute it and or modify it|redistribute and or modify it|distributed and or modified|redistributed and or modified) under the terms of (?:version (?P<early>{1}) of )?the gnu {0} as published by the free software foundation(?:[,;]? (?:either )?version (?P<name>{1})(?: 0)?(?: of the license)?.*)?"
+
 # The wording of public licences, as patterns over normalised sentences (lower case, plain spaces).
 SENTENCES = [
     ("spdx", r"spdx license identifier (?P<name>[a-z0-9 +]+)"),
-    ("gpl-line", r"(?:this work is |this program is |this file is )?(?:licensed|released|distributed) under (?:the )?(?:terms of the )?gnu general public license,? (?:version|v) ?(?P<name>[23])(?: or later)?"),
-    ("lgpl-line", r"(?:this work is |this program is |this file is )?(?:licensed|released|distributed) under (?:the )?(?:terms of the )?gnu lesser general public license,? (?:version|v) ?(?P<name>[23](?: 1)?)(?: or later)?"),
-    ("apache-line", r"(?:this work is |this file is )?(?:licensed|released|distributed) under the apache license,? (?:version|v) ?(?P<name>2 0)"),
+    ("agpl-header", _HEADER.format("affero general public license", "3")),
+    ("lgpl-header", _HEADER.format("(?:lesser|library) general public license", "2 1|2|3")),
+    ("gpl-header", _HEADER.format("general public license", "[123]")),
+    ("agpl-line", _UNDER + r"(?:gnu )?(?:affero general public license|agpl)(?: agpl)?" + _VERSION.format("3")),
+    ("lgpl-line", _UNDER + r"(?:gnu )?(?:(?:lesser|library) general public license|lgpl)(?: lgpl)?" + _VERSION.format("2 1|2|3")),
+    ("gpl-line", _UNDER + r"(?:gnu )?(?:general public license|gpl)(?: gpl)?" + _VERSION.format("[123]")),
+    ("apache-line", _UNDER + r"apache(?: software)?(?: license)?,? (?:(?:version|v) ?)?(?P<name>2 0)(?: license)?"),
+    ("epl-line", r"(?:.* )?under (?:the )?(?:terms of )?(?:the )?eclipse public license,? (?:version |v ?)?(?P<name>[12] 0)(?: which (?:accompanies this distribution|is available at).*)?"),
+    ("epl-line", _UNDER + r"epl (?:version |v ?)?(?P<name>[12] 0)"),
+    ("boost-line", r"(?:.* )?under the boost software license,? version 1 0.*"),
+    ("boost-grant", r"permission is hereby granted,? free of charge,? to any person or organization obtaining a copy of the software and accompanying documentation.*"),
+    ("zlib-grant", r"permission is granted to anyone to use this software for any purpose,? including commercial applications.*"),
+    ("zlib-line", _UNDER + r"zlib(?: libpng)? license"),
+    ("unlicense-grant", r"this is free and unencumbered software released into the public domain"),
+    ("unlicense-line", _UNDER + r"unlicense(?: license)?"),
+    ("mpl-line", _UNDER + r"(?:mozilla public license|mpl)(?: mpl)?,? (?:version |v ?)?2 0"),
+    ("isc-line", _UNDER + r"isc license"),
+    ("bsd3-line", _UNDER + r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|bsd 3 clause new or revised)(?: license)?"),
+    ("bsd2-line", _UNDER + r"(?:bsd 2 clause|2 clause bsd|simplified bsd)(?: license)?"),
+    ("mit-line", _UNDER + r"mit(?: expat)?(?: open source)?(?: license)?"),
+    ("cc-line", _UNDER + r"(?:cc|creative commons) (?P<name>by(?: nc)?(?: sa| nd)?(?: \d \d)?|zero|0)(?: license)?"),
     ("apache-grant", r"licensed under the apache license,? version 2 0 (?:the )?license(?: you may not use this file except in compliance with the license)?"),
     ("apache-comply", r"you may not use this file except in compliance with the license"),
     ("apache-copy", r"you may obtain a copy of the license at.*"),
     ("apache-as-is", r"unless required by applicable law or agreed to in writing,? software distributed under the license is distributed on an as is basis.*"),
-    ("mit-line", r"(?:this work is |this file is )?(?:licensed|released|distributed) under (?:the terms of )?the mit license"),
     ("mit-grant", r"permission is hereby granted,? free of charge,? to any person obtaining a copy.*"),
     ("mit-notice", r"the above copyright notice and this permission notice shall be included.*"),
     ("mit-as-is", r"the software is provided as is,? without warranty of any kind.*"),
@@ -29,7 +51,6 @@ SENTENCES = [
     ("bsd-names", r"(?:\d )?neither the name of .* may be used to endorse or promote products.* permission"),
     ("isc-grant", r"permission to use,? copy,? modify,? and or distribute this software for any purpose.* is hereby granted.*"),
     ("mpl-line", r"this source code form is subject to the terms of the mozilla public license,? v(?:ersion)? ?2 0"),
-    ("cc-line", r"(?:this work is |this file is )?licensed under (?:a )?(?:cc|creative commons) (?P<name>by(?: nc)?(?: sa| nd)?(?: \d \d)?|zero|0)(?: license)?"),
     ("copyright", r"copyright .*\b(?:19|20)\d\d\b.*"),
 ]
 # Rules in order; the first that fits at a place takes its identifiers.  ``{}`` is the sentence's name.
@@ -41,8 +62,22 @@ RULES = [
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("ISC", ["isc-grant"]),
     ("MPL-2.0", ["mpl-line"]),
-    ("GPL-{}", ["gpl-line"]),
+    ("AGPL-{}", ["agpl-header"]),
+    ("AGPL-{}", ["agpl-line"]),
+    ("LGPL-{}", ["lgpl-header"]),
     ("LGPL-{}", ["lgpl-line"]),
+    ("GPL-{}", ["gpl-header"]),
+    ("GPL-{}", ["gpl-line"]),
+    ("EPL-{}", ["epl-line"]),
+    ("BSL-1.0", ["boost-line"]),
+    ("BSL-1.0", ["boost-grant"]),
+    ("Zlib", ["zlib-grant"]),
+    ("Zlib", ["zlib-line"]),
+    ("Unlicense", ["unlicense-grant"]),
+    ("Unlicense", ["unlicense-line"]),
+    ("ISC", ["isc-line"]),
+    ("BSD-3-Clause", ["bsd3-line"]),
+    ("BSD-2-Clause", ["bsd2-line"]),
     ("Apache-{}", ["apache-line"]),
     ("Apache-2.0", ["apache-grant"]),
     ("MIT", ["mit-line"]),
@@ -50,7 +85,7 @@ RULES = [
     ("{}", ["spdx"]),
 ]
 # Every known sentence holds one of these words, so a text without any has no known sentence.
-WORDS = ("licen", "permission", "warrant", "redistribut", "copyright")
+WORDS = ("licen", "permission", "warrant", "redistribut", "copyright", "unencumbered", "under")
 
 _SENTENCES = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
 _BREAK = re.compile(r"[\n\r]+(?=\s*[\n\r])|(?<=[.;:])\s+|\n")
@@ -72,7 +107,7 @@ def _known(sentence: str) -> tuple[str, str] | None:
         return None
     for name, pattern in _SENTENCES:
         if m := pattern.fullmatch(sentence):
-            own = m.groupdict().get("name") or ""
+            own = m.groupdict().get("name") or m.groupdict().get("early") or ""
             return name, re.sub(r"(?<=\d) (?=\d)", ".", own).replace(" ", "-")
     return None
 
@@ -93,9 +128,17 @@ def recognise(text: str, joined: int = 3) -> tuple[list[str], list[str]]:
             if i + k > len(parts):
                 break
             # longer joins win only where they complete a sentence that its first line alone is not
+            if k > 1 and _known(parts[i + k - 1][1]):
+                break  # a known sentence of its own is no part of an unknown one
             if got := _known(" ".join(p[1] for p in parts[i : i + k])):
                 hit, used = got, k
                 break
+        if hit and hit[0].endswith("-header") and not hit[1]:  # the version may stand behind a semicolon or a line end
+            for k in range(used + 1, min(used + joined, len(parts) - i) + 1):
+                got = _known(" ".join(p[1] for p in parts[i : i + k]))
+                if got and got[1]:
+                    hit, used = got, k
+                    break
         if hit:
             found.append(hit)
         i += used
@@ -104,7 +147,7 @@ def recognise(text: str, joined: int = 3) -> tuple[list[str], list[str]]:
     while i < len(ids):
         for licence, rule in RULES:
             if ids[i : i + len(rule)] == rule:
-                licences.append(licence.format(found[i][1].upper() if licence == "CC-{}" else found[i][1]))
+                licences.append(licence.format(found[i][1].upper() if licence == "CC-{}" else found[i][1]).rstrip("-"))
                 i += len(rule)
                 break
         else:

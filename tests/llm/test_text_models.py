@@ -107,3 +107,27 @@ def test_licence_rules():
 def test_licences_edge_cases(spark):
     rows = licences.scan(odd(spark).union(odd(spark).where("false"))).collect()
     assert [r.licensed for r in rows] == [False] * 6
+
+
+@pytest.mark.parametrize(
+    "text, licence",
+    [
+        ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.", "GPL-3"),
+        ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.", "LGPL-2.1"),
+        ("it under the terms of the GNU Affero General Public License", ""),
+        ("You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License.", "AGPL-3"),
+        ("Licensed under the GNU General Public License v3.0", "GPL-3"),
+        ("This project is licensed under the MIT License.", "MIT"),
+        ("This software is licensed under the MIT License", "MIT"),
+        ("All the code here is licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+        ("This program is made available under the terms of the Eclipse Public License v2.0", "EPL-2.0"),
+        ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"),
+        ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it", "Zlib"),
+        ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+        ("This library is released under the BSD 3-Clause License", "BSD-3-Clause"),
+        ("This is not licensed under the MIT License.", ""),
+        ("He works under the bridge and signs no license.", ""),
+    ],
+)
+def test_common_licence_notices(text, licence):
+    assert licences.recognise(text)[1] == [licence] * bool(licence)
