@@ -3,10 +3,16 @@ known; rounds are written, so a lost executor costs one round.  Only emptiness t
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import drop, stage
+
+
+#: Rounds of improved pairs that lie side by side before they are written as one table.
+COMPACT = 6
 
 
 def neighbors(edges: DataFrame, nodes: DataFrame, direction: str = "both") -> DataFrame:
@@ -62,15 +68,20 @@ def best_products(edges: DataFrame, sources: DataFrame) -> DataFrame:
     if not edges.where("confidence > 1").isEmpty():
         raise ValueError("confidences above 1 have no largest product on a cycle")
     step = stage(edges.groupBy(F.col("to_id").alias("node"), F.col("from_id").alias("next")).agg(F.max("confidence").alias("c")))
-    known = stage(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(1.0).alias("confidence")).distinct())
-    frontier = known
+    start = stage(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(1.0).alias("confidence")).distinct())
+    parts, frontier = [start], start
     while True:
         found = frontier.join(step, "node").groupBy("source", F.col("next").alias("node")).agg(F.max(F.col("confidence") * F.col("c")).alias("new"))
+        known = reduce(DataFrame.unionByName, parts).groupBy("source", "node").agg(F.max("confidence").alias("confidence"))
         better = found.join(known, ["source", "node"], "left").where("confidence IS NULL OR new > confidence + 1e-12")
         frontier = stage(better.select("source", "node", F.col("new").alias("confidence")))
         if frontier.isEmpty():
             return known
-        known = stage(known.unionByName(frontier).groupBy("source", "node").agg(F.max("confidence").alias("confidence")))
+        parts.append(frontier)
+        if len(parts) > COMPACT:
+            whole = stage(reduce(DataFrame.unionByName, parts).groupBy("source", "node").agg(F.max("confidence").alias("confidence")))
+            drop(*parts[:-1])  # the frontier is still read
+            parts = [whole]
 
 
 def propagate(edges: DataFrame, kinds: list[str], skip: tuple[str, ...] = ("CallsHttp",)) -> DataFrame:
@@ -93,8 +104,11 @@ def components(edges: DataFrame) -> DataFrame:
         lower = labels.join(seen, "node").select("node", F.col("label").alias("was"), F.least("label", "seen").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         new = stage(lower.join(up, "label", "left").select("node", "was", F.least("label", F.coalesce("up", "label")).alias("label")))
+        done = new.where("was <> label").isEmpty()
+        drop(labels)
         labels = new.select("node", "label")
-        if new.where("was <> label").isEmpty():
+        labels._stage = new._stage
+        if done:
             return labels
 
 
@@ -159,14 +173,16 @@ def simple_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 8, per_pair
 
 
 def fixpoint(start: DataFrame, grow, max_rounds: int = 16) -> DataFrame:
-    """Rows of ``start`` and all that ``grow`` derives from what is known, until nothing new appears."""
+    """Rows of ``start`` and all that ``grow`` derives from what is known, until nothing new appears.
+
+    Raises where ``max_rounds`` rounds leave something new."""
     known = stage(start.distinct())
     for _ in range(max_rounds):
-        new = stage(grow(known).distinct().exceptAll(known))
+        new = stage(grow(known).distinct().join(known, known.columns, "left_anti"))
         if new.isEmpty():
-            break
+            return known
         known = known.unionByName(new)
-    return known
+    raise ValueError(f"no fixpoint within {max_rounds} rounds")
 
 
 def follow(edges: DataFrame, nodes: DataFrame, kinds: list[str]) -> DataFrame:
@@ -178,17 +194,27 @@ def follow(edges: DataFrame, nodes: DataFrame, kinds: list[str]) -> DataFrame:
     return at
 
 
-def lift(edges: DataFrame, parents: DataFrame, visible: Column, max_rounds: int = 16) -> DataFrame:
+def lift(edges: DataFrame, parents: DataFrame, visible: Column) -> DataFrame:
     """Fold edges to the nearest visible ancestors: ends that are hidden are replaced by their parent until visible;
-    (from_id, to_id, n) grouped, without loops.  ``parents`` has (node, parent, and the columns of ``visible``)."""
-    chain = stage(parents.select("node", "parent", visible.alias("shown")))
-    at = chain.select("node", F.when(F.col("shown"), F.col("node")).alias("top"), "parent")
-    for _ in range(max_rounds):
-        open_ = at.where("top IS NULL AND parent IS NOT NULL")
-        if open_.isEmpty():
-            break
-        up = chain.select(F.col("node").alias("parent"), F.col("parent").alias("next"), F.col("shown").alias("up_shown"))
-        at = stage(at.join(up, "parent", "left").select("node", F.coalesce("top", F.when(F.col("up_shown"), F.col("parent"))).alias("top"), F.when(F.col("top").isNull(), F.col("next")).alias("parent")))
-    tops = at.where("top IS NOT NULL").select("node", "top")
-    lifted = edges.join(tops.select(F.col("node").alias("from_id"), F.col("top").alias("f")), "from_id").join(tops.select(F.col("node").alias("to_id"), F.col("top").alias("t")), "to_id")
+    (from_id, to_id, n) grouped, without loops.  ``parents`` has (node, parent, and the columns of ``visible``).
+
+    Pointer jumping: a hidden node's pointer doubles its reach each round, so the rounds grow with the logarithm of the
+    depth.  Nodes without a visible ancestor (hidden roots, cycles of hidden nodes) have no place; their edges go.
+    """
+    top = tops(parents, visible)
+    lifted = edges.join(top.select(F.col("node").alias("from_id"), F.col("top").alias("f")), "from_id").join(top.select(F.col("node").alias("to_id"), F.col("top").alias("t")), "to_id")
     return lifted.where("f <> t").groupBy(F.col("f").alias("from_id"), F.col("t").alias("to_id")).agg(F.count("*").alias("n"))
+
+
+def tops(parents: DataFrame, visible: Column) -> DataFrame:
+    """(node, top): the node itself where visible, else its nearest visible ancestor; nodes without one are absent."""
+    chain = parents.select("node", "parent", visible.alias("shown"))
+    at = stage(chain.select("node", F.when(F.col("shown"), F.col("node")).alias("top"), F.when(~F.col("shown"), F.col("parent")).alias("up")))
+    total = at.where("up IS NOT NULL").count()
+    reach = 1
+    while reach <= total and not at.where("top IS NULL AND up IS NOT NULL").isEmpty():
+        above = at.select(F.col("node").alias("up"), F.col("top").alias("up_top"), F.col("up").alias("further"))
+        new = stage(at.join(above, "up", "left").select("node", F.coalesce("top", "up_top").alias("top"), F.when(F.coalesce("top", "up_top").isNull(), F.col("further")).alias("up")))
+        drop(at)
+        at, reach = new, 2 * reach
+    return at.where("top IS NOT NULL").select("node", "top")

@@ -18,7 +18,7 @@ def neighbors(g: Graph):
 _STEP = f"s AS (SELECT from_id, to_id FROM edges WHERE kind IN ({sql_list(CHAIN_EDGES)}))"
 
 
-@query("reach_from_contracts", f", {_STEP}, r(source, node, depth) AS (SELECT id, id, 0 FROM nodes WHERE kind = 'HttpContract' AND id % 10 = 0 UNION SELECT source, to_id, depth + 1 FROM r JOIN s ON from_id = node WHERE depth < 4) SELECT source, node, min(depth) AS depth FROM r GROUP BY source, node")
+@query("reach_from_contracts", f", {_STEP}, r(source, node, depth) AS (SELECT id, id, 0 FROM nodes WHERE kind = 'HttpContract' UNION SELECT source, to_id, depth + 1 FROM r JOIN s ON from_id = node WHERE depth < 4) SELECT source, node, min(depth) AS depth FROM r GROUP BY source, node")
 def reach(g: Graph):
     own = g.edges.where(F.col("kind").isin(*CHAIN_EDGES))
     return graph.reach(own, g.nodes.where("kind = 'HttpContract'"), 4)
@@ -52,7 +52,7 @@ def longest(g: Graph):
     return graph.longest_depth(g.edges.where("kind = 'Calls'"))
 
 
-@query("simple_paths", ", e AS (SELECT from_id, to_id FROM edges WHERE kind IN ('HandledBy', 'Calls')), r(a, node, path) AS (SELECT id, id, [id] FROM nodes WHERE kind = 'HttpContract' AND id % 20 = 0 UNION ALL SELECT a, to_id, list_append(path, to_id) FROM r JOIN e ON from_id = node WHERE len(path) <= 3 AND NOT list_contains(path, to_id)), p AS (SELECT id AS a, max(to_id) AS b FROM nodes JOIN edges ON edges.kind = 'HandledBy' AND from_id = id WHERE nodes.kind = 'HttpContract' AND id % 20 = 0 GROUP BY id), f AS (SELECT r.a, node AS b, path, row_number() OVER (PARTITION BY r.a, node ORDER BY len(path), path) AS place FROM r JOIN p ON p.a = r.a AND p.b = node) SELECT a, b, array_to_string(path, '>') AS path FROM f WHERE place <= 4 AND len(path) > 1")
+@query("simple_paths", ", e AS (SELECT DISTINCT from_id, to_id FROM edges WHERE kind IN ('HandledBy', 'Calls')), p AS (SELECT from_id AS a, max(to_id) AS b FROM edges WHERE kind = 'HandledBy' GROUP BY from_id), r(a, b, node, path) AS (SELECT a, b, a, [a] FROM p UNION ALL SELECT a, b, to_id, list_append(path, to_id) FROM r JOIN e ON from_id = node WHERE len(path) <= 8 AND node <> b AND NOT list_contains(path, to_id)), f AS (SELECT a, b, path, row_number() OVER (PARTITION BY a, b ORDER BY len(path), path) AS place FROM r WHERE node = b AND len(path) > 1) SELECT a, b, array_to_string(path, '>') AS path FROM f WHERE place <= 4")
 def paths(g: Graph):
     pairs = g.edges.where("kind = 'HandledBy'").groupBy(F.col("from_id").alias("a")).agg(F.max("to_id").alias("b"))
     found = graph.simple_paths(g.edges.where("kind IN ('HandledBy', 'Calls')"), pairs)
@@ -71,6 +71,6 @@ def fold(g: Graph):
     return graph.lift(g.edges.where("kind IN ('WritesDb', 'ReadsDb', 'Calls')"), parents, F.col("kind") != "Method")
 
 
-@query("semantic_value", f", {_STEP}, u AS (SELECT from_id, to_id FROM s UNION SELECT to_id, from_id FROM s), r(source, node, depth) AS (SELECT id, id, 0 FROM nodes WHERE kind = 'Queue' UNION SELECT source, to_id, depth + 1 FROM r JOIN u ON from_id = node WHERE depth < 2) SELECT source, count(DISTINCT node) AS value FROM r JOIN nodes ON id = node WHERE kind IN ('Table', 'HttpContract', 'ConfigKey', 'Cache', 'Queue', 'EventBus') AND node <> source GROUP BY source")
+@query("semantic_value", f", {_STEP}, out AS (SELECT DISTINCT from_id AS source, to_id AS node FROM s), ring1 AS (SELECT source, node FROM out UNION SELECT node, source FROM out), ring2 AS (SELECT DISTINCT r.source, o.node FROM ring1 r JOIN out o ON o.source = r.node), ring3 AS (SELECT DISTINCT r.source, o.node FROM ring2 r JOIN out o ON o.source = r.node), f AS (SELECT source, node FROM out UNION SELECT * FROM ring2 UNION SELECT * FROM ring3), v AS (SELECT source, count(*) AS n FROM f WHERE node IN (SELECT id FROM nodes WHERE kind IN ({sql_list(SEMANTIC_NODES)})) GROUP BY source) SELECT id AS source, coalesce(n, 0) AS value FROM (SELECT DISTINCT id FROM nodes) LEFT JOIN v ON source = id")
 def semantic_value(g: Graph):
     return graph.semantic_value(g.edges.where(F.col("kind").isin(*CHAIN_EDGES)), g.nodes, g.nodes.where(F.col("kind").isin(*SEMANTIC_NODES)))

@@ -31,7 +31,7 @@ def node_summaries(g: Graph):
 
 for _d, _c in (("out", "from_id"), ("in", "to_id")):
 
-    @query(f"edges_{_d}_of_tables_and_methods", f"SELECT kind, from_id, to_id FROM edges WHERE {_c} IN (SELECT id FROM nodes WHERE kind = 'Table' OR (kind = 'Method' AND id % 7 = 0))")
+    @query(f"edges_{_d}_of_tables_and_methods", f"SELECT kind, from_id, to_id FROM edges WHERE {_c} IN (SELECT id FROM nodes WHERE kind IN ('Table', 'Method'))")
     def edges_of(g: Graph, d=_d):
         return store.edges_of(g.edges, g.nodes.where("kind IN ('Table', 'Method')").select("id"), d).select("kind", "from_id", "to_id")
 
@@ -97,7 +97,7 @@ def external(g: Graph):
     return external_in_loop(g.nodes.where("kind = 'CallSite'").withColumnRenamed("category", "callee"), names)
 
 
-@query("contract_bridge", "SELECT f.id AS from_id, b.id AS to_id FROM nodes f JOIN nodes b ON f.kind = 'HttpContract' AND b.kind = 'HttpContract' AND f.side = 'frontend' AND b.side = 'backend' AND f.sub <> b.sub AND regexp_replace(f.name, '/\\d+$', '') = regexp_replace(b.name, '/\\d+$', '') WHERE f.id % 50 = 0")
+@query("contract_bridge", "SELECT f.id AS from_id, b.id AS to_id FROM nodes f JOIN nodes b ON f.kind = 'HttpContract' AND b.kind = 'HttpContract' AND f.side = 'frontend' AND b.side = 'backend' AND f.sub <> b.sub AND regexp_replace(f.name, '/\\d+$', '') = regexp_replace(b.name, '/\\d+$', '')")
 def contract_bridge(g: Graph):
     own = g.nodes.where("kind = 'HttpContract'").select("id", "sub", "side", F.regexp_replace("name", r"/\d+$", "").alias("name"))
     return bridge(own).select("from_id", "to_id")
