@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.staging import drop, new_folder  # noqa: F401
+
 #: Entries a worker keeps in a word cache before it starts afresh; bounds memory, never results.
 CACHE_ENTRIES = 600_000
 #: Characters of texts whose words are encoded together (a longer text alone).
@@ -19,20 +20,39 @@ TEXT_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a folder of our own only on one machine (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file:///tmp/loomspark-checkpoints"  # one machine, as in tests
-    return f"{base.rstrip('/')}/loom-{uuid.uuid4().hex}"
+    """A fresh folder below the application's own in ``spark.checkpoint.dir``; it goes when the driver ends."""
+    return new_folder(spark)
 
 
 def written(df: DataFrame, spark: SparkSession, name: str = "stage") -> DataFrame:
     """Write a stage to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage = path
+    return out
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, longer where a column of ``df`` has it already (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def grid(rows: DataFrame, own: str, members: str = "members", least: int = 1024, shares: int = 16, most: int = 50_000) -> DataFrame:
+    """Rows of buckets with the cells (i, j) of their bucket's grid, in which every two rows of a bucket meet.
+
+    A bucket of up to ``least`` rows is the one cell (0, 0).  A larger one is dealt into blocks by a hash of column
+    ``own``; cell (i, j), i < j, holds two blocks, so no task takes a hot bucket whole.  Rows are copied at most
+    ``shares`` times until blocks reach ``most`` rows; only beyond that do copies grow with the bucket.
+    """
+    block = F.greatest(F.lit(least), F.least(F.ceil(F.col(members) / shares), F.lit(most)))
+    out = rows.withColumn("blocks", F.ceil(F.col(members) / block).cast("int")).withColumn("block", F.pmod(F.xxhash64(own), F.col("blocks")).cast("int"))
+    other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (F.col("blocks") == 1) | (x != F.col("block")))
+    out = out.withColumn("other", F.explode(other))
+    return out.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "block", "other")
 
 
 def doc_columns(docs: DataFrame) -> DataFrame:
@@ -63,16 +83,22 @@ class TokenizerWords:
     spaces, line ends and before a comma or full stop that ends a word.  Words are cut, numbered and put together as
     Arrow and NumPy columns; the library sees one long string of the distinct words and its ids are cut again at
     tokens that begin with a space, or at a mark between the words.
+
+    A text that holds the string of a special token goes whole to the library, which gives that token's id; with
+    ``special_as_text`` such strings are ordinary text, as the vocabularies' own notes set it.
     """
 
     MARK, CUT = "\x01", "\x00"
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        names = [t.content for t in added if t.content and not (special_as_text and t.special)]
+        self.special = re.compile("|".join(map(re.escape, names)), re.IGNORECASE) if names else None
         self.spaced = spaced
         self.odd = re.compile(r" (?=\s|\Z)")
         self.before_word = re.compile(r" (?=\S)")
@@ -149,10 +175,11 @@ class TokenizerWords:
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(texts)
-        whole = [i for i, t in enumerate(texts) if self.CUT in t]
+        special = self.special.search if self.special else lambda _: None
+        whole = {i for i, t in enumerate(texts) if self.CUT in t or special(t)}
         for i in whole:
             out[i] = self._one(texts[i]).tobytes()
-        at = [i for i, t in enumerate(texts) if t and self.CUT not in t]
+        at = [i for i, t in enumerate(texts) if t and i not in whole]
         if not at:
             return out
         rows = pc.split_pattern(pa.array([self._cut(texts[i]) for i in at], pa.large_string()), self.CUT)
@@ -180,14 +207,15 @@ class TokenizerWords:
         return out
 
 
-_ENCODERS: dict[tuple[str, bool], TokenizerWords] = {}
+_ENCODERS: dict[tuple[str, bool, bool], TokenizerWords] = {}
 
 
-def tokenizer_words(path: str, spaced: bool) -> TokenizerWords:
+def tokenizer_words(path: str, spaced: bool, special_as_text: bool = False) -> TokenizerWords:
     """The worker's encoder for a vocabulary."""
-    if (path, spaced) not in _ENCODERS:
-        _ENCODERS[path, spaced] = TokenizerWords(path, spaced)
-    return _ENCODERS[path, spaced]
+    key = (path, spaced, special_as_text)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = TokenizerWords(*key)
+    return _ENCODERS[key]
 
 
 def slices(texts: list[str] | pa.Array, most_bytes: int = 4 << 20):

@@ -23,9 +23,10 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS length", "'t' AS tie", "2 AS part")
 
 
-def plain(path):
+def plain(path, as_text=False):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    if as_text:
+        t.encode_special_tokens = True
     return lambda text, end: [*t.encode(text or "", add_special_tokens=False).ids, end]
 
 
@@ -40,6 +41,19 @@ def test_words_equal_whole_texts(texts):
         assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [whole(t, 0)[:-1] for t in texts]
 
 
+SPECIAL = st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "|>", " a", "b. ", "\n"]), max_size=6).map("".join)
+AS_TEXT = {path: TokenizerWords(path, path == BYTE, True) for path in (BYTE, WORD)}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(SPECIAL, max_size=4))
+def test_special_tokens_are_the_librarys(texts):
+    for path in (BYTE, WORD):
+        for own, whole in ((WORDS[path], plain(path)), (AS_TEXT[path], plain(path, True))):
+            assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [whole(t, 0)[:-1] for t in texts]
+    assert np.frombuffer(WORDS[BYTE].encode(["<|endoftext|>"])[0], "<u4").tolist() == [50256]
+
+
 AGENDA, LIBRARY = pieces.PieceAgenda(PIECE), sentencepiece.SentencePieceProcessor(model_file=PIECE)
 
 
