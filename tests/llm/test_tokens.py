@@ -30,6 +30,7 @@ def plain(path, as_text=False):
     return lambda text, end: [*t.encode(text or "", add_special_tokens=False).ids, end]
 
 
+PLAIN = {(path, as_text): plain(path, as_text) for path in (BYTE, WORD) for as_text in (False, True)}
 WORDS = {path: TokenizerWords(path, path == BYTE) for path in (BYTE, WORD)}
 
 
@@ -37,7 +38,7 @@ WORDS = {path: TokenizerWords(path, path == BYTE) for path in (BYTE, WORD)}
 @given(st.lists(TEXT, max_size=5))
 def test_words_equal_whole_texts(texts):
     for path, own in WORDS.items():
-        whole = plain(path)
+        whole = PLAIN[path, False]
         assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [whole(t, 0)[:-1] for t in texts]
 
 
@@ -49,7 +50,7 @@ AS_TEXT = {path: TokenizerWords(path, path == BYTE, True) for path in (BYTE, WOR
 @given(st.lists(SPECIAL, max_size=4))
 def test_special_tokens_are_the_librarys(texts):
     for path in (BYTE, WORD):
-        for own, whole in ((WORDS[path], plain(path)), (AS_TEXT[path], plain(path, True))):
+        for own, whole in ((WORDS[path], PLAIN[path, False]), (AS_TEXT[path], PLAIN[path, True])):
             assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [whole(t, 0)[:-1] for t in texts]
     assert np.frombuffer(WORDS[BYTE].encode(["<|endoftext|>"])[0], "<u4").tolist() == [50256]
 
@@ -88,6 +89,27 @@ def test_differencing_balances():
         packing.windows([2000], 1024)
 
 
+@given(st.lists(st.integers(1, 128), max_size=60))
+def test_places_cover_all_ids_and_cut_little(sizes):
+    pieces, k = packing.place(sizes, 128)
+    fill, at = {}, {}
+    for item, start, length, w, offset in sorted(pieces, key=lambda p: (p[3], p[4])):
+        assert length > 0 and offset == fill.get(w, 0)
+        fill[w] = offset + length
+        at.setdefault(item, []).append((start, length))
+    assert set(fill) == set(range(k)) and all(f <= 128 for f in fill.values()) and k <= -(-sum(sizes) // 128) + 1
+    for item, size in enumerate(sizes):
+        own = sorted(at[item])
+        assert own[0][0] == 0 and sum(n for _, n in own) == size and all(a + n == b for (a, n), (b, _) in zip(own, own[1:]))
+
+
+def test_most_documents_stay_whole():
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(1, 1024, 300).tolist()
+    pieces, k = packing.place(sizes, 1024)
+    assert sum(sizes) / (k * 1024) > 0.98 and len(pieces) < 1.25 * len(sizes)
+
+
 def test_packing_is_a_partition_of_all_ids(spark):
     whole, table = plain(BYTE), docs(spark)
     rows = packing.pack(table, BYTE).collect()
@@ -98,13 +120,19 @@ def test_packing_is_a_partition_of_all_ids(spark):
         own.sort(key=lambda r: r.offset)
         assert [r.offset for r in own] == [sum(x.length for x in own[:i]) for i in range(len(own))]
         assert sum(r.length for r in own) <= 1024
-    expected = []
-    for d in table.collect():
-        ids = np.array(whole(d.text, 0), "<u4")
-        expected.append((d.doc_id, ids))
-    crcs = sorted((str(r.doc_id), r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows)
-    made = sorted((str(d), s, n, zlib.crc32(ids[s : s + n].tobytes()), len(ids)) for d, ids in expected for s, n in packing.cut(len(ids), 1024, 128))
-    assert crcs == made
+    # every id of every document lies in exactly one piece
+    pieces = {}
+    for r in rows:
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+    for doc in {d.doc_id for d in table.collect()}:
+        copies = [np.array(whole(d.text, 0), "<u4") for d in table.collect() if d.doc_id == doc]
+        ids, n = copies[0], len(copies)
+        assert all(crc == zlib.crc32(ids[s : s + k].tobytes()) and total == len(ids) for s, k, crc, total in pieces[doc])
+        covered = np.zeros(len(ids) + 1, np.int64)
+        for start, length, _, _ in pieces[doc]:
+            covered[start] += 1
+            covered[start + length] -= 1
+        assert (covered.cumsum()[:-1] == n).all()
     assert packing.pack(table.where("false"), BYTE).count() == 0
 
 
