@@ -9,6 +9,7 @@ per worker, all new words of a batch together.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
@@ -20,13 +21,28 @@ from pyspark.sql import functions as F
 from .common import CACHE_ENTRIES, filtered, slices
 
 #: Labelled texts of each language that the model is fitted on at most, in the order of a hash of their doc_id.
-SAMPLE_PER_LANG = 150
-#: Longer runs of letters are scored in parts of this many characters; longest piece; rounds of fitting.
-RUN, LONGEST, ROUNDS = 32, 8, 4
-_WORDS = re.compile(r"[^\W\d_]+")
+SAMPLE_PER_LANG, MOST_LANGS = 150, 500
+#: Longer runs of letters are scored in parts of this many characters (segmentations across a cut are not summed);
+#: rounds of fitting.
+RUN, ROUNDS = 32, 4
 UNKNOWN = "und"
 
 
+def _letters() -> str:
+    """A character class of letters: word characters but digits, the underscore and numerals that are no letters."""
+    points = [i for i in range(128, sys.maxunicode + 1) if not 0xD800 <= i < 0xE000 and (c := chr(i)).isalnum() and not (c.isalpha() or c.isdecimal())]
+    runs: list[list[int]] = []
+    for i in points:
+        if runs and runs[-1][1] == i - 1:
+            runs[-1][1] = i
+        else:
+            runs.append([i, i])
+    return r"[^\W\d_" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]"
+
+
+_WORDS = re.compile(_letters() + "+")
+
+
 def held_out(doc_id) -> F.Column:
     """True where crc32 of the id as text leaves 2 modulo 4; a null id is not held out."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
@@ -38,7 +54,7 @@ def vocabulary(model_path: str) -> list[str]:
 
     lib = sentencepiece.SentencePieceProcessor(model_file=model_path)
     own = {lib.id_to_piece(i).lower().replace("▁", "_") for i in range(lib.get_piece_size()) if not (lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i))}
-    return sorted(p for p in own if len(p) <= LONGEST and re.fullmatch(r"_?[^\W\d_]+", p))
+    return sorted(p for p in own if _WORDS.fullmatch(p.removeprefix("_")))
 
 
 def words_of(text: str) -> list[str]:
@@ -58,7 +74,7 @@ class Lattice:
     def __init__(self, words: list[str], index: dict[str, int]):
         at, begin, end, piece = [], [], [], []
         get, none = index.get, len(index)
-        longest = LONGEST
+        longest = max(map(len, index), default=1)
         for i, w in enumerate(words):
             w = "_" + w
             n = len(w)
@@ -188,9 +204,13 @@ def fit(rows: list, model_path: str) -> LanguageModel | None:
 
 
 def sample(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> list:
-    """About ``per_lang`` labelled texts of each language outside the held-out fold, by a hash of doc_id."""
+    """About ``per_lang`` labelled texts of each language outside the held-out fold, by a hash of doc_id.
+
+    Of more than ``MOST_LANGS`` values of ``lang`` the most frequent are learned: a corpus with a value for every row is
+    no labelling, and the plan would hold a branch for each.
+    """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
-    counts = {r.lang: r["count"] for r in own.groupBy("lang").count().collect()}
+    counts = {r.lang: r["count"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_lang / n))).otherwise(share)
@@ -225,12 +245,16 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: LanguageModel | None, least: float = 0.5) -> DataFrame:
-    """Rows of ``docs``, all columns as they are, with a language of probability ``least`` or more."""
+    """Rows of ``docs``, all columns as they are, with a language of probability ``least`` or more.
+
+    Null texts and texts without a letter go; where no language was learned, all texts with a letter stay, for none
+    can be rejected.  Null ids stay null, repeated rows are judged alike, an empty table stays empty.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def accept(texts):
         if shipped.value is None:
-            return [False] * len(texts)
+            return [bool(words_of(t)) for t in texts]
         langs, scores = shipped.value.predict(texts)
         return [lang != UNKNOWN and score >= least for lang, score in zip(langs, scores.tolist())]
 

@@ -2,6 +2,8 @@
 
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import Row
 
 from loomspark.llm import langid, licences, ordinal, quality, toxicity
@@ -38,6 +40,47 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in found.values())
 
 
+def test_numerals_are_no_letters(spark):
+    model = langid.fit([Row(text="the and of", lang="en"), Row(text="der und die", lang="de")], MODEL)
+    langs = model.predict(["½ ②", "²", "㊀ ٣", "_ 12", "a²", "日本"])[0]
+    assert langs[:4] == ["und"] * 4 and "und" not in langs[4:]
+    import sys
+
+    for i in range(sys.maxunicode + 1):
+        c = chr(i)
+        if c.isalpha() != bool(langid._WORDS.fullmatch(c)):
+            raise AssertionError(hex(i))
+
+
+def brute_segmentations(word, index, p):
+    """Sum over all segmentations of ``_word``, by recursion: the first character alone is the unknown edge too."""
+    word = "_" + word
+
+    def rest(at):
+        if at == len(word):
+            return 1.0
+        total = p[len(index)] * rest(at + 1) if at == 0 or word[at] not in index else 0.0
+        for end in range(at + 1, len(word) + 1):
+            if end == 1:
+                continue
+            if (i := index.get(word[at:end])) is not None:
+                total += p[i] * rest(end)
+        return total
+
+    return rest(0)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text("abé", min_size=1, max_size=7), min_size=1, max_size=4, unique=True), st.sets(st.text("_ab", min_size=1, max_size=4).filter(lambda x: "_" not in x[1:] and x != "_"), max_size=10))
+def test_forward_equals_enumeration(words, pieces):
+    import numpy as np
+
+    index = {x: i for i, x in enumerate(sorted(pieces))}
+    p = np.linspace(0.05, 0.9, len(index) + 1)
+    got = np.exp(langid.Lattice(words, index).scores(p[:, None]))[:, 0]
+    assert np.allclose(got, [brute_segmentations(w, index, p) for w in words])
+
+
 def test_language_edge_cases(spark):
     model = langid.fit([Row(text="the and of", lang="en"), Row(text="der und die", lang="de"), Row(text=None, lang="fr")], MODEL)
     rows = langid.predict(odd(spark), model).collect()
@@ -47,6 +90,7 @@ def test_language_edge_cases(spark):
     kept = langid.keep(odd(spark), model)
     assert kept.columns == odd(spark).columns and [r.doc_id for r in kept.collect()] == [None, 5, 5]
     assert langid.predict(odd(spark).where("false"), model).count() == 0
+    assert [r.doc_id for r in langid.keep(odd(spark), None).collect()] == [None, 5, 5] and langid.keep(odd(spark).where("false"), model).count() == 0
 
 
 @pytest.fixture(scope="module")
