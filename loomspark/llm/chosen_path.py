@@ -17,19 +17,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, slices, written
+from .common import doc_columns, fresh, grid, slices, written
 from .components import components
 from .shingles import WIDTH, forget_words, pair_counts, shingles, sketch
 
 #: A bucket compared by brute force; paths below a split; members of a bucket that one task takes; shingles of a
 #: group that one task takes (larger groups are compared in a grid of blocks); sets compared at once in a task.
-LEAF, BRANCHES, TASK_BUCKET, TASK_SHINGLES, TILE = 128, 3, 50_000, 2_000_000, 1024
+LEAF, BRANCHES, TASK_BUCKET, TASK_SHINGLES, TILE = 128, 3, 16_384, 2_000_000, 1024
 DEEPEST = 4
 
 
-def runs(similarity: float, recall: float) -> int:
-    """Runs until a pair of the given similarity meets with the given probability."""
-    return max(1, ceil(log(1 - recall) / log(1 - similarity)))
+def runs(similarity: float, recall: float, levels: int = 2 * DEEPEST) -> int:
+    """Runs until a pair of the given similarity meets with the given probability.
+
+    A pair survives the first split with its similarity, and each of ``levels`` further splits (those of large buckets
+    and those within a task, all of them in the worst case) where one of its branches keeps it together.
+    """
+    one = similarity * (1 - (1 - similarity) ** BRANCHES) ** levels
+    return max(1, ceil(log(1 - recall) / log(1 - one)))
 
 
 def _mix(key: np.ndarray | int, salt: int) -> np.ndarray:
@@ -149,7 +154,11 @@ def _stars(names: list, root: np.ndarray) -> tuple[list, list]:
 
 def sketched(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, key (for finding the text again), print (a hash of the text), cls (of equal sets; null without words),
-    size, sketch."""
+    size, sketch.
+
+    Null texts are empty; null ids stay null, their key is a hash of the text; equal texts, repeated rows among them,
+    have equal print, cls and sketch; an empty table gives no row; other columns are dropped.
+    """
 
     def run(batches):
         for b in batches:
@@ -166,7 +175,7 @@ def sketched(docs: DataFrame, n: int) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, key long, print long, cls string, size long, sketch binary")
 
 
-def _loose(classes: DataFrame, similarity: float, least: int, times: int, task_bucket: int) -> DataFrame:
+def _loose(classes: DataFrame, similarity: float, least: int, times: int, task_bucket: int, cell: int = 1024) -> DataFrame:
     """Edges (a, b) between classes that are near by their sketches."""
 
     def first(batches):
@@ -200,9 +209,9 @@ def _loose(classes: DataFrame, similarity: float, least: int, times: int, task_b
         sizes = keyed.groupBy("path").agg(F.count("*").alias("members")).where("members > 1")
         met = keyed.join(sizes, "path").join(classes.select("cls", "sketch"), "cls")
         met = written(met, spark, "buckets")
-        # at the greatest depth whatever is left is compared whole, whatever its size
+        # at the greatest depth all that is left is compared; a bucket above a task's share is compared cell by cell
         fits = F.lit(True) if depth == DEEPEST else F.col("members") <= task_bucket
-        found = met.where(fits).groupBy("path").applyInArrow(bucket, "a string, b string")
+        found = grid(met.where(fits), "cls", least=cell).groupBy("path", "i", "j").applyInArrow(bucket, "a string, b string")
         edges = found if edges is None else edges.union(found)
         large = met.where(~fits)
         if depth == DEEPEST or large.isEmpty():
@@ -220,14 +229,15 @@ def links(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float =
     a null ``doc_id`` stays null and is never a class_id unless all of its class have none; an empty table gives no
     row; other columns are ignored.
     """
-    return _linked(docs, n, similarity, recall, task_bucket, task_shingles).drop("print")
+    return _linked(docs, n, similarity, recall, task_bucket, task_shingles).drop("print", "lead")
 
 
 def _linked(docs: DataFrame, n: int, similarity: float, recall: float = 0.998, task_bucket: int = TASK_BUCKET, task_shingles: int = TASK_SHINGLES) -> DataFrame:
-    """The rows of ``links`` with a hash of each text."""
+    """The rows of ``links`` with a hash of each text, and whether it is the one of its group that stays: the smallest
+    doc_id (null last), then the smallest hash; of texts without a word each."""
     spark = docs.sparkSession
     rows = written(sketched(docs, n), spark, "sketches")
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("key").alias("key"), F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("size").alias("size"), F.min("sketch").alias("sketch"))
+    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("key").alias("key"), F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("size").alias("size"), F.min("sketch").alias("sketch"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("lead"))
     classes = written(classes, spark, "classes")
     # a sketch estimates similarity with a deviation of about sqrt(s (1 - s) / WIDTH); 3.5 of them below is near
     least = int(WIDTH * (similarity - 3.5 * (similarity * (1 - similarity) / WIDTH) ** 0.5))
@@ -282,20 +292,24 @@ def _linked(docs: DataFrame, n: int, similarity: float, recall: float = 0.998, t
     if not grid.isEmpty():
         labels = components(grid)
         found = found.join(labels, found.cls == labels.node, "left").withColumn("top", F.when(F.col("blocks") > 1, F.coalesce("label", "cls")).otherwise(F.col("top"))).drop("node", "label")
-    joined = classes.select("cls", "first", "copies").join(found.select("cls", "links", "top"), "cls", "left").withColumn("top", F.coalesce("top", "cls"))
-    firsts = joined.groupBy("top").agg(F.min("first").alias("class_id"))
-    answer = joined.join(firsts, "top").select("cls", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    joined = classes.select("cls", "first", "copies", "lead").join(found.select("cls", "links", "top"), "cls", "left").withColumn("top", F.coalesce("top", "cls"))
+    firsts = joined.groupBy("top").agg(F.min("first").alias("class_id"), F.min("lead").alias("group_lead"))
+    answer = joined.join(firsts, "top").select("cls", "class_id", F.when(F.col("lead") == F.col("group_lead"), F.col("lead")).alias("lead"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = rows.select("doc_id", "print", "cls").join(answer, "cls", "left")
-    return out.select("doc_id", "print", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    leads = F.col("cls").isNull() | F.coalesce(F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("print") == F.col("lead.print")), F.lit(False))
+    return out.select("doc_id", "print", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), leads.alias("lead"))
 
 
 def keep_firsts(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows of ``docs``, all columns as they are, with one document of each group of links: the smallest doc_id.
 
-    Of repeated rows (equal doc_id and text) one stays; documents without doc_id stay where no other of their group
-    has one, one for each text.
+    Of equal doc_ids in a group the text of the smallest hash stays, of repeated rows (equal doc_id and text) one.
+    Documents without doc_id stay where no other of their group has one, one for each group.  Texts without a word
+    (null, empty, blank) are no copies of each other: all stay, repeated rows once.  An empty table stays empty.
     """
-    firsts = _linked(docs, n, similarity).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_first"), F.col("print").alias("_print")).distinct()
-    own = docs.withColumn("_text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    kept = own.join(firsts, F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("_text") == F.col("_print")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    id_, print_, first = fresh(docs, "_id"), fresh(docs, "_print"), fresh(docs, "_first")
+    firsts = _linked(docs, n, similarity).where("lead").select(F.col("doc_id").alias(first), F.col("print").alias(print_)).distinct()
+    hashed, own_id = fresh(docs, "_text_hash"), F.col("doc_id").cast("long")
+    own = docs.withColumns({hashed: F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), id_: own_id})
+    kept = own.join(firsts, F.col(id_).eqNullSafe(F.col(first)) & (F.col(hashed) == F.col(print_)), "left_semi")
+    return kept.dropDuplicates([id_, hashed]).select(*docs.columns)

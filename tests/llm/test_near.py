@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from loomspark.llm import anisotropic, chosen_path, edit_print
+from loomspark.llm import anisotropic, chosen_path, common, edit_print
 from loomspark.llm.components import components
 
 DOCS = "doc_id long, text string"
@@ -97,6 +97,52 @@ def test_keep_firsts_keeps_one_of_each_group(spark):
     assert sorted((tuple(r)[:2] for r in kept.collect()), key=str) == sorted([(1, rows[0][1]), (3, rows[3][1]), (4, None), (None, None), (5, "q r")], key=str)
 
 
+def test_keep_firsts_with_clashing_columns_and_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (1, text + " more"), (2, text), (9, "alone here")]
+    names = ("_text", "_first", "_print", "_id", "_text_hash", "print", "lead", "cls", "i", "block", "members", "TEXT_")
+    kept = chosen_path.keep_firsts(spark.createDataFrame(rows, DOCS).selectExpr("*", *[f"'x{i}' AS `{c}`" for i, c in enumerate(names)]))
+    assert kept.columns == ["doc_id", "text", *names]
+    got = kept.collect()
+    assert sorted(r.doc_id for r in got) == [1, 9] and all(r[c] == f"x{i}" for r in got for i, c in enumerate(names))
+
+
+def test_pairs_are_found_in_large_buckets_and_at_depth():
+    """Sketches that share a template at every split: buckets far above a leaf, planted pairs agree at 4 of 5 positions."""
+    rng, pairs = np.random.default_rng(8), 300
+    rows = rng.integers(0, 3, (2 * pairs, chosen_path.WIDTH)).astype(np.uint16)
+    rows[rng.random(rows.shape) < 0.55] = 0  # a common value: one bucket takes most of all rows at every position
+    for k in range(pairs):
+        rows[2 * k + 1] = rows[2 * k]
+        at = rng.choice(chosen_path.WIDTH, round(0.2 * chosen_path.WIDTH), replace=False)
+        rows[2 * k + 1, at] = 900 + rng.integers(0, 60_000, len(at))
+    least = int(0.79 * chosen_path.WIDTH)
+    assert not np.triu(chosen_path._near(rows[::2], rows[::2], least), 1).any()
+    root = np.arange(len(rows))
+    sizes = []
+    for run in range(chosen_path.runs(0.8, 0.998)):
+        path = int(chosen_path._mix(run, 99)[0])
+        p = chosen_path.positions(path, 1)[0]
+        for value in np.unique(rows[:, p]):
+            at = np.flatnonzero(rows[:, p] == value)
+            sizes.append(len(at))
+            if len(at) > 1:
+                chosen_path.descend(rows, at, int(chosen_path.child(path, p, rows[at[:1], p])[0]), least, root)
+    found = sum(chosen_path._find(root, 2 * k) == chosen_path._find(root, 2 * k + 1) for k in range(pairs))
+    assert max(sizes) > 3 * chosen_path.LEAF and found / pairs >= 0.99
+
+
+def test_grid_meets_every_pair(spark):
+    rows = spark.range(300).selectExpr("cast(id as string) cls", "cast(id % 3 as long) path", "100L members")
+    cells = common.grid(rows, "cls", least=20).collect()
+    met = {}
+    for r in cells:
+        met.setdefault((r.path, r.i, r.j), set()).add(int(r.cls))
+    pairs = {(a, b) for own in met.values() for a in own for b in own if a < b}
+    assert pairs == {(a, b) for a in range(300) for b in range(a + 1, 300) if a % 3 == b % 3}
+    assert max(map(len, met.values())) < 80 and {r.i for r in common.grid(rows, "cls", least=200).collect()} == {0}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([("a", "b"), ("c", "b"), ("d", "c"), ("x", "y"), ("z", "z")], "a string, b string")
     assert {r.node: r.label for r in components(edges).collect()} == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "x", "z": "z"}
