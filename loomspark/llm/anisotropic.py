@@ -166,9 +166,25 @@ def clean(rows: DataFrame) -> DataFrame:
     return own.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def search(rows: DataFrame, every: int = 20, k: int = 20, depth: int = 250) -> DataFrame:
+def coarse_centres(x: np.ndarray, lists: int, rounds: int = 8, seed: int = 11) -> np.ndarray:
+    """Unit centres of ``lists`` coarse cells, by spherical k-means."""
+    unit = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
+    centres = unit[np.random.default_rng(seed).choice(len(x), lists, replace=len(x) < lists)]
+    for _ in range(rounds):
+        own = (unit @ centres.T).argmax(1)
+        for c in range(lists):
+            if (total := unit[own == c].sum(0)).any():
+                centres[c] = total / np.sqrt(total @ total)
+    return centres
+
+
+def search(rows: DataFrame, every: int = 20, k: int = 20, depth: int = 250, lists: int = 0, probes: int = 0) -> DataFrame:
     """The ``k`` nearest of all rows for each row whose id is divisible by ``every``, without itself.
 
+    By default every query meets every block of vectors and the result is exact; that work grows with queries times
+    rows.  With ``lists`` coarse cells a query meets only the ``probes`` cells whose centres score highest for it: work
+    grows with ``probes / lists`` of that, and neighbours in other cells are lost (measure the recall before use).
+
     query_id, rank (from 1), vec_id, score (the inner product of the original vectors in double precision); nearest
     first, ties to the smaller vec_id; all candidates where they are fewer than ``k``.  Rows that take no part: see
     ``clean``.  An empty table gives no row; repeated rows count once; other columns are ignored.
@@ -189,23 +205,41 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, depth: int = 250) -> D
         return spark.createDataFrame([], result)
     book = fit(np.array([r.v for r in drawn]))
     shipped = spark.sparkContext.broadcast(book)  # 16 centres a part: bounded by the dimension
+    coarse = coarse_centres(np.array([r.v for r in drawn]), lists) if lists else None
     cores = spark.sparkContext.defaultParallelism
     blocks = max(1, -(-n // VECTOR_BLOCK), min(2 * cores, -(-n // LEAST_BLOCK)))
-    queries = own.where(F.col("vec_id") % every == 0)
-    asked = queries.groupBy("v").agg(F.min("vec_id").alias("query"))
+    # equal query vectors are asked once; 128 bits of hashes stand for a vector, so that no join moves it
+    vector_key = F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.reverse("v"), F.lit(1)).alias("b"))
+    queries = own.where(F.col("vec_id") % every == 0).withColumn("vk", vector_key)
+    asked = queries.groupBy("vk").agg(F.min("vec_id").alias("query"), F.min("v").alias("v"))
     asked_n = max(1, own.where(F.col("vec_id") % every == 0).count())
     query_blocks = -(-asked_n // QUERY_BLOCK)
+    if lists:  # a coarse cell's share, in blocks of its own where cells are uneven
+        blocks = max(1, -(-2 * n // (lists * VECTOR_BLOCK)))
 
     def encode(batches):
         own_book = shipped.value
         for b in batches:
-            packed = pack_codes(own_book.assign(own_book.pad(_vectors(b.column(2)))))
-            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array([bytes(c) for c in packed], pa.binary())], names=["item", "ids", "v", "code"])
+            x = _vectors(b.column(2))
+            packed = pack_codes(own_book.assign(own_book.pad(x)))
+            cells = (x @ coarse.T).argmax(1) if coarse is not None and len(x) else np.zeros(len(x), np.int64)
+            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array([bytes(c) for c in packed], pa.binary()), pa.array(cells, pa.int64())], names=["item", "ids", "v", "code", "list"])
 
-    coded = items.select("item", "ids", "v").mapInArrow(encode, "item long, ids array<long>, v array<double>, code binary")
-    coded = coded.withColumn("vb", F.pmod(F.xxhash64("item"), F.lit(blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<long>")))
-    asked = asked.withColumn("qb", F.pmod(F.xxhash64("query"), F.lit(query_blocks))).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-    found_schema = pa.schema([("query", pa.int64()), ("v", pa.list_(pa.float64())), ("vec_id", pa.int64()), ("score", pa.float64())])
+    def route(batches):
+        for b in batches:
+            scores = _vectors(b.column(1)) @ coarse.T
+            best_lists = np.argsort(-scores, 1, kind="stable")[:, : max(1, probes)]
+            yield pa.record_batch([b.column(0), pa.array(list(best_lists), pa.list_(pa.int64()))], names=["query", "lists"])
+
+    coded = items.select("item", "ids", "v").mapInArrow(encode, "item long, ids array<long>, v array<double>, code binary, list long")
+    coded = coded.withColumn("vb", F.col("list") * blocks + F.pmod(F.xxhash64("item"), F.lit(blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<long>")))
+    if coarse is not None:
+        routed = asked.select("query", "v").mapInArrow(route, "query long, lists array<long>")
+        asked = asked.join(routed, "query").withColumn("list", F.explode("lists")).drop("lists")
+    else:
+        asked = asked.withColumn("list", F.lit(0).cast("long"))
+    asked = asked.withColumn("qb", F.pmod(F.xxhash64("query"), F.lit(query_blocks))).withColumn("vb", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.col("list") * blocks + i)))
+    found_schema = pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def cell(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -213,19 +247,20 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, depth: int = 250) -> D
         left = left.sort_by("item")  # ties go to the smaller id
         x, q = _vectors(left["v"]), _vectors(right["v"])
         packed = np.frombuffer(b"".join(left["code"].to_pylist()), np.uint8).reshape(len(x), -1)
-        ids, asked_ids, vectors = left["ids"].to_pylist(), right["query"].to_pylist(), right["v"].to_pylist()
+        ids, asked_ids = left["ids"].to_pylist(), right["query"].to_pylist()
         found, scores = scan(shipped.value, packed, x, q, k + 1, depth)
         out = []
         for i, (rows_, own_scores) in enumerate(zip(found.tolist(), scores.tolist())):
             pairs = [(-s, d) for r, s in zip(rows_, own_scores) for d in ids[r]]
-            out += [(asked_ids[i], vectors[i], d, -s) for s, d in sorted(pairs)[: k + 1]]
+            out += [(asked_ids[i], d, -s) for s, d in sorted(pairs)[: k + 1]]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), found_schema.types)], schema=found_schema)
 
-    met = coded.groupBy("vb", "qb").cogroup(asked.groupBy("vb", "qb")).applyInArrow(cell, "query long, v array<double>, vec_id long, score double")
-    # the exact measure, summed in one order everywhere
+    met = coded.groupBy("vb", "qb").cogroup(asked.select("query", "v", "qb", "vb").groupBy("vb", "qb")).applyInArrow(cell, "query long, vec_id long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     top = met.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
-    lists = top.groupBy("query").agg(F.first("v").alias("v"), F.sort_array(F.collect_list(F.struct("place", "vec_id", "score"))).alias("near"))
-    joined = queries.select(F.col("vec_id").alias("query_id"), "v").join(lists.select("v", "near"), "v")
+    lists = top.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "score"))).alias("near"))
+    # one short list for each different query vector meets all rows that ask it
+    lists = lists.join(asked.select("query", "vk").distinct(), "query").select("vk", "near")
+    joined = queries.select(F.col("vec_id").alias("query_id"), "vk").join(lists, "vk")
     kept = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     return joined.select("query_id", F.posexplode(kept).alias("at", "hit")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
