@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chosen_path import _join, _stars
-from .common import doc_columns, written
+from .common import doc_columns, grid, written
 from .components import components
 
 #: Samples of a fingerprint (one byte each), samples of a band, period of the shared coins, characters of a sample.
 SAMPLES, BAND, PERIOD, GRAM = 128, 4, 4096, 4
+#: Share of equal samples from which a candidate pair is verified as near.
+VERIFIED = 0.5
 _RNG = np.random.default_rng(20160618)
 _COINS = _RNG.integers(0, 2, (256, PERIOD)).astype(bool)
 _FACTORS = _RNG.integers(1, 1 << 62, GRAM, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -98,6 +100,12 @@ def likeness(a: str, b: str) -> float:
     return float((x == y).mean())
 
 
+def shares_band(a: str, b: str, size: int = BAND) -> bool:
+    """Whether two fingerprints agree in all samples of some band: what makes them candidates."""
+    x, y = (np.frombuffer(bytes.fromhex(p), np.uint8).reshape(-1, size) for p in (a, b))
+    return bool((x == y).all(1).any())
+
+
 def of(text: str) -> str:
     own = classes_of(text)
     return fingerprint(own, walk(own))
@@ -127,11 +135,13 @@ def _compared(a: _Own, b: _Own) -> tuple:
     states = a.states[: n - m]
     edited = fingerprint(a.classes[: n - m] + end, np.concatenate([states, walk(end, int(states[-1]) if n > m else 0)]))
     sha = hashlib.sha256((a.text[: n - m] + b.text[:m]).encode("utf-8", "surrogatepass")).hexdigest()
-    return (a.doc_id, n, sha, a.print, edited, likeness(a.print, edited), likeness(a.print, b.print))
+    near_edited, near_next = likeness(a.print, edited), likeness(a.print, b.print)
+    found = [shares_band(a.print, other) for other in (edited, b.print)]
+    return (a.doc_id, n, sha, a.print, edited, near_edited, near_next, *found, found[0] and near_edited >= VERIFIED, found[1] and near_next >= VERIFIED)
 
 
-COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, candidate_edited boolean, candidate_next boolean, verified_edited boolean, verified_next boolean"
+_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_()]
 _NAMES = [x.split()[0] for x in COLUMNS.split(", ")]
 
 
@@ -139,6 +149,9 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of all texts and of their edited texts, whose last quarter is replaced by as many first
     characters of the next document in ascending doc_id (behind the last comes the first).
 
+    ``near_`` columns are shares of equal samples; a pair is a candidate where its fingerprints share a whole band, and
+    verified where all samples together reach ``VERIFIED``.
+
     Null text is empty; null ids come first and stay null; equal ids go by a hash of their text; repeated rows follow
     each other; an only document is its own next; an empty table gives no row; other columns are ignored.
     """
@@ -192,7 +205,11 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint of every whole text."""
+    """doc_id and fingerprint of every whole text.
+
+    Null texts are empty; a null ``doc_id`` stays null; equal texts, repeated rows among them, have equal fingerprints;
+    an empty table gives no row; other columns are ignored.
+    """
 
     def run(batches):
         for b in batches:
@@ -201,10 +218,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return doc_columns(docs).mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
+def near_classes(docs: DataFrame, least: float = 0.8, cell: int = 1024) -> DataFrame:
     """doc_id, class_id: documents whose fingerprints are ``least`` alike, directly or through others.
 
-    Equal fingerprints are one entry; entries that share a band meet in a bucket and are verified by all samples.
+    Equal fingerprints are one entry; entries that share a band meet in a bucket and are verified by all samples.  A
+    bucket of very many entries is compared in a grid of blocks.  Null and empty texts are one class; a null ``doc_id``
+    stays null and names no class unless all of its class have none; an empty table gives no row; other columns are
+    ignored.
     """
     prints = written(fingerprints(docs), docs.sparkSession, "prints")
     own = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
@@ -231,7 +251,8 @@ def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
         a, b = _stars(names, root)
         return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
 
-    edges = keyed.join(shared, ["band", "value"]).groupBy("band", "value").applyInArrow(bucket, "a string, b string")
+    met = grid(keyed.join(shared, ["band", "value"]), "fingerprint", least=cell)
+    edges = met.select("fingerprint", "band", "value", "i", "j").groupBy("band", "value", "i", "j").applyInArrow(bucket, "a string, b string")
     labels = components(edges)
     tops = own.join(labels, own.fingerprint == labels.node, "left").select("fingerprint", "first", F.coalesce("label", "fingerprint").alias("top"))
     firsts = tops.groupBy("top").agg(F.min("first").alias("class_id"))

@@ -177,7 +177,10 @@ def test_edited_fingerprints_equal_brute_force(spark):
         edited = t[: len(t) - m] + nxt[:m]
         a, b = edit_print.of(t), edit_print.of(edited)
         expected.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), a, b, edit_print.likeness(a, b), edit_print.likeness(a, edit_print.of(nxt))))
-    assert sorted((tuple(r) for r in edit_print.edited_fingerprints(table).collect()), key=str) == sorted(expected, key=str)
+    assert sorted((tuple(r)[:7] for r in edit_print.edited_fingerprints(table).collect()), key=str) == sorted(expected, key=str)
+    for r in edit_print.edited_fingerprints(table).collect():
+        bands = lambda p: {(i, p[i : i + 8]) for i in range(0, 256, 8)}
+        assert r.candidate_edited == bool(bands(r.fingerprint) & bands(r.edited_fingerprint)) and r.verified_edited == (r.candidate_edited and r.near_edited >= 0.5)
     one = edit_print.edited_fingerprints(spark.createDataFrame([(1, "abcdefgh")], DOCS)).collect()
     assert one[0].edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and one[0].near_next == 1.0
     assert edit_print.edited_fingerprints(table.where("false")).count() == 0
@@ -190,6 +193,34 @@ def test_near_classes(spark):
     assert {r.doc_id: r.class_id for r in edit_print.near_classes(spark.createDataFrame(rows, DOCS)).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
 
 
+def test_banding_finds_texts_of_few_edits_in_hot_bands(spark):
+    rng = random.Random(9)
+    head = "".join(rng.choice("abcdefghij ") for _ in range(40))  # one beginning for all: hot bands
+    rows, truth = [], []
+    for i in range(60):
+        own = head + "".join(rng.choice("abcdefghij ") for _ in range(rng.randint(800, 1600)))
+        rows.append((2 * i, own))
+        at = sorted(rng.sample(range(50, len(own)), 3))
+        rows.append((2 * i + 1, own[: at[0]] + "x" + own[at[0] + 1 : at[1]] + own[at[1] + 1 : at[2]] + "yz" + own[at[2] :]))
+        truth.append((2 * i, 2 * i + 1))
+    near = [p for p in truth if edit_print.likeness(edit_print.of(rows[p[0]][1]), edit_print.of(rows[p[1]][1])) >= 0.8]
+    found = {r.doc_id: r.class_id for r in edit_print.near_classes(spark.createDataFrame([*rows, (500, "x" * 60_000)], DOCS), cell=8).collect()}
+    assert len(near) > 40 and sum(found[a] == found[b] for a, b in near) == len(near)
+    assert len(set(found.values())) >= 60 and edit_print.near_classes(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_coarse_cells_keep_their_recall(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 24))
+    x = centres[rng.integers(0, 40, 3000)] + 0.4 * rng.normal(size=(3000, 24))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = defaultdict(set)
+    for r in anisotropic.search(table, every=100, lists=16, probes=5).collect():
+        found[r.query_id].add(r.vec_id)
+    hits = [len(found[q] & set(np.argsort(-np.where(np.arange(3000) == q, -np.inf, x @ x[q]), kind="stable")[:20].tolist())) for q in range(0, 3000, 100)]
+    assert sum(hits) / (20 * len(hits)) >= 0.9
+
+
 def vectors(n=900, dim=10, seed=3):
     x = np.random.default_rng(seed).normal(size=(n, dim)).astype(np.float32)
     x[100:400] = x[99]  # a third of all rows are one vector
