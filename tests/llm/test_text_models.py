@@ -145,12 +145,86 @@ def test_licence_rules():
     assert licences.recognise("SPDX-License-Identifier: BSD-3-Clause")[0] == ["spdx"]
     assert licences.recognise("You may not use this file except in compliance with the License.")[1] == []
     assert licences.recognise("licence and warranty, but no known sentence") == ([], [])
-    assert all(any(w in pattern for w in licences.WORDS) for _, pattern in licences.SENTENCES)
+    assert all(any(w in pattern for w in licences.WORDS) for _, pattern in licences.NOTICES if _ != "copyright")
+    assert all(any(w in text.lower() for w in licences.WORDS) for texts in licences.TEXTS.values() for text in texts)
+
+
+def whole(name, places, wrap=70):
+    """A licence text as it stands in files: a copyright line, then the sentences, broken into lines."""
+    import textwrap
+
+    body = "\n\n".join(textwrap.fill(licences.TEXTS[n][i].replace("<x>", "Jane Doe"), wrap) for n, i in places)
+    return f"Copyright (c) 2019 Jane Doe\n\n{body}\n"
+
+
+@pytest.mark.parametrize(
+    "places, licence",
+    [
+        ([("MIT", i) for i in range(4)], "MIT"),
+        ([*[("MIT", i) for i in range(4)], ("X11", 0)], "X11"),
+        ([("BSD", i) for i in (0, 1, 2, 5, 6, 7, 8)], "BSD-2-Clause"),
+        ([("BSD", i) for i in (0, 1, 2, 3, 5, 6, 7, 8)], "BSD-3-Clause"),
+        ([("BSD", i) for i in (0, 1, 2, 4, 3, 5, 6, 7, 8)], "BSD-4-Clause"),
+        ([("ISC", i) for i in range(3)], "ISC"),
+        ([("ISC", 3)], "0BSD"),
+        ([("Apache-2.0", i) for i in range(5)], "Apache-2.0"),
+        ([("Apache-2.0", i) for i in (5, 6, 7, 8)], "Apache-2.0"),
+        ([("MPL-2.0", 0), ("MPL-2.0", 1)], "MPL-2.0"),
+        ([("Zlib", i) for i in range(7)], "Zlib"),
+        ([("Unlicense", 0), ("Unlicense", 1)], "Unlicense"),
+        ([("BSL-1.0", 0), ("BSL-1.0", 1)], "BSL-1.0"),
+        ([("EPL", 0)], "EPL-1.0"),
+        ([("CC0-1.0", 0)], "CC0-1.0"),
+    ],
+)
+def test_whole_licence_texts(places, licence):
+    for wrap in (60, 78, 5000):
+        assert licences.recognise("Some words before.\n\n" + whole("", places, wrap) + "\nAnd some behind.")[1] == [licence]
+
+
+def test_spdx_expressions():
+    found = lambda t: licences.recognise(t)[1]
+    assert found("SPDX-License-Identifier: mit") == ["MIT"] and found("// SPDX-License-Identifier: Apache-2.0 OR MIT") == ["Apache-2.0", "MIT"]
+    assert licences.spdx("(gpl-2.0-only WITH Classpath-exception-2.0) and bsd-3-clause") == ["GPL-2.0-only", "BSD-3-Clause"]
+    assert licences.spdx("LGPL-2.1+ some other words") == ["LGPL-2.1+"] and licences.spdx("") == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["MIT/0", "MIT/1", "MIT/2", "MIT/3", "X11/0", "BSD/0", "BSD/1", "BSD/2", "BSD/3", "Apache-2.0/0", "Apache-2.0/1", "ISC/0", "copyright", "mit-line", "GPL/0"]), max_size=9))
+def test_sequences_meet_rules_as_by_brute_force(ids):
+    """Every rule at every place, tried by choosing places one after another."""
+
+    def fits(at, rule):
+        if ids[at] != rule[0]:
+            return None
+        for own in rule[1:]:
+            at += 1
+            while at < len(ids) and ids[at] != own and (ids[at] == "copyright" or ids[at].split("/")[0] == rule[0].split("/")[0]):
+                at += 1
+            if at >= len(ids) or ids[at] != own:
+                return None
+        return at
+
+    expected, i = [], 0
+    heads = {rule[0] for _, rule in [*licences.RULES, *licences.NOTICE_RULES]}
+    while i < len(ids):
+        ends = [(licence, rule, end) for licence, rule in [*licences.RULES, *licences.NOTICE_RULES] if (end := fits(i, rule)) is not None]
+        if not ends:
+            i += 1
+            continue
+        licence, rule, end = ends[0]
+        end += 1
+        while end < len(ids) and "/" in ids[end] and ids[end].split("/")[0] == rule[-1].split("/")[0] and ids[end] not in heads:
+            end += 1
+        expected.append((i, end - i, licence))
+        i = end
+    assert licences.match_rules(ids) == expected
 
 
 def test_licences_edge_cases(spark):
     rows = licences.scan(odd(spark).union(odd(spark).where("false"))).collect()
     assert [r.licensed for r in rows] == [False] * 6
+    assert licences.scan(odd(spark).where("false")).count() == 0
 
 
 @pytest.mark.parametrize(
