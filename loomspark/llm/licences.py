@@ -52,7 +52,7 @@ NOTICE_RULES = [
     ("BSD-3-Clause", ["bsd3-line"]), ("BSD-2-Clause", ["bsd2-line"]), ("Apache-{}", ["apache-line"]), ("MIT", ["mit-line"]), ("CC-{}", ["cc-line"]),
 ]
 # Every known sentence holds one of these words, so a text without any has no known sentence.
-WORDS = ("licen", "permi", "warrant", "redistribut", "copyright", "unencumbered", "under", "software", "loss of use", "advertising", "you just do", "prominent notices", "substitute goods", "source distribution", "mpl")
+WORDS = ("licen", "permi", "warrant", "redistribut", "copyright", "unencumbered", "under", "software", "loss of use", "advertising", "you just do", "prominent notices", "substitute goods", "source distribution", "mpl", "modified files", "derivative works")
 
 _NOTICES = [(name, re.compile(pattern)) for name, pattern in NOTICES]
 _BREAK = re.compile(r"[\n\r]+(?=\s*[\n\r])|(?<=[.;:])\s+|\n")
