@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .facts import Facts, facts_oracle
 from .projection import Graph, oracle
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,8 +25,20 @@ def query(name: str, sql: str | None, graph: bool = True):
     return add
 
 
+def facts_query(name: str, sql: str | None):
+    """Register a function of the fact tables; ``sql`` stands behind their views."""
+
+    def add(f: Callable[[Facts], DataFrame]):
+        _QUERIES[name] = lambda spark, sf_dir: f(Facts(spark, sf_dir))
+        if sql is not None:
+            _ORACLES[name] = facts_oracle(sql)
+        return f
+
+    return add
+
+
 def _load() -> None:
-    from . import queries_graph, queries_recall, queries_rules, queries_store  # noqa: F401
+    from . import queries_facts, queries_graph, queries_knowledge, queries_recall, queries_rules, queries_store, queries_views  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
