@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kinds import CHAIN_EDGES, SEMANTIC_EDGES
+from .kinds import CHAIN_EDGES, SEMANTIC_EDGES, SEVERITY_RANK
 
 
 def query_nodes(nodes: DataFrame, kind: str | None = None, name_contains: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
@@ -91,3 +91,86 @@ def write_graph(parts: dict[str, DataFrame], path: str) -> None:
 def export_json(parts: dict[str, DataFrame], path: str) -> None:
     for name, df in parts.items():
         df.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def newest(diagnostics: DataFrame, limit: int) -> DataFrame:
+    return diagnostics.orderBy(F.desc("id")).limit(limit)
+
+
+def most_severe(violations: DataFrame, limit: int) -> DataFrame:
+    """Violations (severity, id) by severity, the newest first."""
+    rank = F.create_map(*[F.lit(x) for pair in SEVERITY_RANK.items() for x in pair])[F.col("severity")]
+    return violations.orderBy(rank, F.desc("id")).limit(limit)
+
+
+def severities(diagnostics: DataFrame, prefix: str | None = None, without_prefix: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Counts by (code, severity), and one row with a count for each severity, of the codes with or without a prefix."""
+    own = diagnostics.where(F.startswith("code", F.lit(prefix))) if prefix else diagnostics
+    own = own.where(~F.startswith("code", F.lit(without_prefix))) if without_prefix else own
+    return own.groupBy("code", "severity").agg(F.count("*").alias("n")), own.agg(*[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITY_RANK])
+
+
+def without_prefix(diagnostics: DataFrame, prefix: str) -> DataFrame:
+    """Diagnostics whose code does not begin with a prefix; the caller swaps the result in."""
+    return diagnostics.where(~F.startswith("code", F.lit(prefix)))
+
+
+def code_counts(diagnostics: DataFrame) -> DataFrame:
+    return diagnostics.groupBy("code").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "code")
+
+
+def count_nodes(nodes: DataFrame, kind: str | None = None, side: str | None = None) -> DataFrame:
+    own = nodes.where(F.col("kind") == kind) if kind else nodes
+    return (own.where(F.col("side") == side) if side else own).agg(F.count("*").alias("n"))
+
+
+def kinds(nodes: DataFrame, edges: DataFrame, marks: DataFrame) -> DataFrame:
+    """(part, channel, kind): the kinds that occur; channels of annotations."""
+    one = lambda df, part: df.select(F.lit(part).alias("part"), F.lit("").alias("channel"), "kind").distinct()
+    return one(nodes, "node").union(one(edges, "edge")).union(marks.select(F.lit("annotation").alias("part"), "channel", "kind").distinct())
+
+
+def recall_kinds(nodes: DataFrame, excluded: list[str]) -> DataFrame:
+    return nodes.where(~F.col("kind").isin(*excluded)).select("kind").distinct()
+
+
+def same_project(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges both of whose ends are among the project's nodes (id)."""
+    ids = nodes.select("id").distinct()
+    return edges.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
+
+
+def replaced(old: DataFrame, new: DataFrame, key: str, values: list) -> DataFrame:
+    """Rows with those of the given keys (a project, a sub-project) replaced by ``new``; nothing new: a reset."""
+    return old.where(~F.coalesce(F.col(key).isin(*values), F.lit(False))).unionByName(new)
+
+
+def merge_properties(old: DataFrame, patch: DataFrame) -> DataFrame:
+    """(id, props): JSON objects merged at the top level, the patch's values last; several patches of one node apply in
+    order of their text."""
+    both = old.select("id", "props", F.lit(0).alias("age")).union(patch.select("id", "props", F.lit(1)))
+    pairs = both.select("id", "age", "props", F.explode_outer(F.json_object_keys("props")).alias("k"))
+    raw = F.to_json(F.variant_get(F.parse_json("props"), "$", "map<string,variant>")[F.col("k")])
+    last = pairs.where("k is not null").groupBy("id", "k").agg(F.max_by(raw, F.struct("age", "props")).alias("v"))
+    own = last.groupBy("id").agg(F.array_sort(F.collect_list(F.concat(F.to_json(F.struct(F.col("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("k")))) - 6), F.lit(":"), "v"))).alias("x"))
+    ids = old.select("id").distinct()
+    return ids.join(own, "id", "left").select("id", F.concat(F.lit("{"), F.coalesce(F.array_join("x", ","), F.lit("")), F.lit("}")).alias("props"))
+
+
+def append_locations(old: DataFrame, new: DataFrame, most: int = 50, oldest_first: bool = True) -> DataFrame:
+    """(id, file, line): places of both tables, each once, at most ``most`` a node: stored ones first (or all alike),
+    then by file and line."""
+    age = F.lit(0 if oldest_first else 1)
+    both = old.select("id", "file", "line", age.alias("age")).union(new.select("id", "file", "line", F.lit(1)))
+    once = both.groupBy("id", "file", "line").agg(F.min("age").alias("age"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("age", "file", "line"))
+    return once.withColumn("_n", place).where(F.col("_n") <= most).select("id", "file", "line")
+
+
+def converge_wildcards(contracts: DataFrame) -> DataFrame:
+    """(id, target): contracts (id, scope, method, path) of method ``ANY`` or ``RULE`` join the first concrete contract of
+    their scope and path; the others, and those without one, stay themselves."""
+    wild = F.col("method").isin("ANY", "RULE")
+    first = contracts.where(~wild).groupBy("scope", "path").agg(F.min("id").alias("first"))
+    met = contracts.join(first, ["scope", "path"], "left")
+    return met.select("id", F.when(wild, F.coalesce("first", "id")).otherwise(F.col("id")).alias("target"))
