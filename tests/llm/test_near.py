@@ -301,3 +301,22 @@ def test_pipeline_stages(spark):
     assert sorted(kept) == sorted(set(groups.values()))
     out = corpus_pipeline.run(spark, data)
     assert out.columns[:3] == ["doc_id", "start", "length"] and out.count() > 0
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _text string, _first string, cls string, print string, length string"
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    data = "/root/testdata/sf0.001"
+    fine = "The river runs past the old mill and the people of the town walk along it every morning. " * 4
+    rows = [(1, None, "en"), (2, "", None), (None, fine, "en"), (4, fine, "en"), (4, fine, "en"), (5, "x " * 60_000, "en"), (6, "½ ²", None)]
+    table = spark.createDataFrame([(d, t, lang, "s", 1, "a", "b", "c", "d", "e") for d, t, lang in rows], ODD)
+    for docs in (table, table.where("false")):
+        for stage in (corpus_pipeline.known_language, corpus_pipeline.usable, corpus_pipeline.one_of_each_group):
+            out = stage(spark, docs, data)
+            assert out.columns == docs.columns
+            if docs is not table:
+                assert out.count() == 0
+        assert corpus_pipeline.packed(spark, docs, data).count() >= (docs is table)
+    kept = corpus_pipeline.one_of_each_group(spark, table, data).collect()
+    assert sorted((str(r.doc_id) for r in kept)) == ["1", "2", "4", "5", "6"] and all(r._text == "a" and r.length == "e" for r in kept)
