@@ -13,6 +13,8 @@ from .staging import drop, stage
 
 #: Rounds of improved pairs that lie side by side before they are written as one table.
 COMPACT = 6
+#: Hops of a round of best products.
+HOPS = 4
 
 
 def neighbors(edges: DataFrame, nodes: DataFrame, direction: str = "both") -> DataFrame:
@@ -71,17 +73,22 @@ def best_products(edges: DataFrame, sources: DataFrame) -> DataFrame:
     start = stage(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(1.0).alias("confidence")).distinct())
     parts, frontier = [start], start
     while True:
-        found = frontier.join(step, "node").groupBy("source", F.col("next").alias("node")).agg(F.max(F.col("confidence") * F.col("c")).alias("new"))
+        # several hops without a barrier; only pairs that the last of them improves go on, the others went on already
+        layer, layers = frontier, []
+        for hop in range(HOPS):
+            layer = layer.join(step, "node").groupBy("source", F.col("next").alias("node")).agg(F.max(F.col("confidence") * F.col("c")).alias("confidence"))
+            layers.append(layer.withColumn("tail", F.when(F.lit(hop == HOPS - 1), F.col("confidence"))))
+        found = reduce(DataFrame.unionByName, layers).groupBy("source", "node").agg(F.max("confidence").alias("new"), F.max("tail").alias("tail"))
         known = reduce(DataFrame.unionByName, parts).groupBy("source", "node").agg(F.max("confidence").alias("confidence"))
         better = found.join(known, ["source", "node"], "left").where("confidence IS NULL OR new > confidence + 1e-12")
-        frontier = stage(better.select("source", "node", F.col("new").alias("confidence")))
-        if frontier.isEmpty():
+        improved = stage(better.select("source", "node", F.col("new").alias("confidence"), F.coalesce(F.col("tail") > F.coalesce("confidence", F.lit(0.0)) + 1e-12, F.lit(False)).alias("open")))
+        if improved.isEmpty():
             return known
-        parts.append(frontier)
+        frontier = improved.where("open").drop("open")
+        parts.append(improved.drop("open"))
         if len(parts) > COMPACT:
             whole = stage(reduce(DataFrame.unionByName, parts).groupBy("source", "node").agg(F.max("confidence").alias("confidence")))
-            drop(*parts[:-1])  # the frontier is still read
-            parts = [whole]
+            parts = [whole]  # the older parts are removed with the application's folder: the frontier reads the last
 
 
 def propagate(edges: DataFrame, kinds: list[str], skip: tuple[str, ...] = ("CallsHttp",)) -> DataFrame:

@@ -12,6 +12,7 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .operators import graph, store, views
 from .operators.kinds import CHAIN_EDGES
@@ -31,17 +32,19 @@ class Engine:
         """Write a new version of a project's graph; the version table is written last."""
         version = f"v{time.time_ns()}"
         store.write_graph({name: parts[name] for name in PARTS}, f"{self.root}/{project}/{version}")
-        row = [(project, version, description, int(time.time() * 1000))]
-        self.spark.createDataFrame(row, "project string, version string, description string, created_at long").coalesce(1).write.mode("append").parquet(f"{self.root}/{project}/versions")
+        schemas = json.dumps({name: parts[name].schema.jsonValue() for name in PARTS})  # a part without rows has no file
+        row = [(project, version, description, int(time.time() * 1000), schemas)]
+        self.spark.createDataFrame(row, "project string, version string, description string, created_at long, schemas string").coalesce(1).write.mode("append").parquet(f"{self.root}/{project}/versions")
 
     def projects(self, names: list[str]) -> DataFrame:
         """The newest version of each of the named projects."""
         rows = self.spark.read.parquet(*[f"{self.root}/{n}/versions" for n in names])
-        return rows.groupBy("project").agg(F.max_by(F.struct("version", "description", "created_at"), "created_at").alias("x")).select("project", "x.*")
+        return rows.groupBy("project").agg(F.max_by(F.struct("version", "description", "created_at", "schemas"), "created_at").alias("x")).select("project", "x.*")
 
     def part(self, project: str, name: str) -> DataFrame:
-        version = self.projects([project]).first().version
-        return self.spark.read.parquet(f"{self.root}/{project}/{version}/{name}")
+        own = self.projects([project]).first()
+        schema = StructType.fromJson(json.loads(own.schemas)[name])
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{project}/{own.version}/{name}").select(*schema.names)
 
     def stats(self, project: str) -> DataFrame:
         return store.stats(*(self.part(project, p) for p in PARTS))

@@ -41,6 +41,19 @@ def test_best_products_stop_on_cycles_and_take_the_best_path(spark):
     assert got == {1: 1.0, 2: 0.5, 3: 0.25}
 
 
+def test_best_products_equal_relaxation_on_random_graphs(spark):
+    rng = random.Random(12)
+    pairs = [(a, b, rng.choice([0.5, 0.7, 1.0])) for a, b in random_edges(12, 14, 26)]
+    best = {(s, s): 1.0 for s in (0, 1, 2)}
+    for _ in range(40):
+        for (s, n), c in list(best.items()):
+            for a, b, w in pairs:  # callers of n
+                if b == n and c * w > best.get((s, a), 0) + 1e-12:
+                    best[s, a] = c * w
+    got = {(r.source, r.node): r.confidence for r in graph.best_products(edges(spark, pairs), spark.range(3)).collect()}
+    assert got.keys() == best.keys() and all(abs(got[k] - best[k]) < 1e-9 for k in best)
+
+
 def test_propagate_keeps_direct_edges_and_skips_http(spark):
     e = edges(spark, [(2, 1, 0.7)]).union(edges(spark, [(1, 9, 0.8), (2, 8, 1.0)], "WritesDb")).union(edges(spark, [(1, 7, 1.0)], "CallsHttp"))
     got = [(r.kind, r.from_id, r.to_id, round(r.confidence, 6), r.sources) for r in graph.propagate(e, ["WritesDb", "CallsHttp"]).collect()]
