@@ -38,7 +38,7 @@ def facts_query(name: str, sql: str | None):
 
 
 def _load() -> None:
-    from . import queries_facts, queries_graph, queries_knowledge, queries_recall, queries_rules, queries_store, queries_views  # noqa: F401
+    from . import queries_facts, queries_graph, queries_knowledge, queries_recall, queries_rules, queries_source, queries_store, queries_views  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 
 from .operators import graph, store, views
 from .operators.kinds import CHAIN_EDGES
-from .plans import recall
+from .plans import build, recall
 from .plans.rules import RULES, check_graph, listed, report
 
 PARTS = ("nodes", "edges", "marks")
@@ -36,6 +36,11 @@ class Engine:
         row = [(project, version, description, int(time.time() * 1000), schemas)]
         self.spark.createDataFrame(row, "project string, version string, description string, created_at long, schemas string").coalesce(1).write.mode("append").parquet(f"{self.root}/{project}/versions")
 
+    def build(self, project: str, folder: str, stack: build.Stack = build.Stack(), description: str = "") -> DataFrame:
+        """Write a new version from the source tree below ``folder``; its statistics."""
+        self.create(project, build.build(self.spark, folder, stack), description)
+        return self.stats(project)
+
     def projects(self, names: list[str]) -> DataFrame:
         """The newest version of each of the named projects."""
         rows = self.spark.read.parquet(*[f"{self.root}/{n}/versions" for n in names])
@@ -74,9 +79,9 @@ class Engine:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    """Command line: ``stats|nodes|check|report|recall PROJECT [ARGUMENT] --root FOLDER``; rows as JSON lines."""
+    """Command line: ``build|stats|nodes|check|report|recall PROJECT [ARGUMENT] --root FOLDER``; rows as JSON lines."""
     parser = argparse.ArgumentParser(prog="loomspark")
-    parser.add_argument("command", choices=("stats", "nodes", "check", "report", "recall"))
+    parser.add_argument("command", choices=("build", "stats", "nodes", "check", "report", "recall"))
     parser.add_argument("project")
     parser.add_argument("argument", nargs="?")
     parser.add_argument("--root", required=True)
