@@ -44,10 +44,10 @@ _RUN, _CLASS = "'app\\model\\O' || CAST({} AS VARCHAR) || '::run'", "'app\\model
 _EDGES = f"""
 WITH RECURSIVE o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 > 0 THEN CAST(floor(o_orderkey / 3) AS BIGINT) END AS want FROM orders),
 up AS (SELECT o.k, b.k AS base FROM o LEFT JOIN o b ON b.k = o.want),
-ch(k, at, depth) AS (SELECT k, k, 0 FROM o UNION ALL SELECT ch.k, up.base, depth + 1 FROM ch JOIN up ON up.k = ch.at WHERE up.base IS NOT NULL AND depth < 20),
-near AS (SELECT k, arg_min(at, depth) AS at FROM ch WHERE at % 2 = 0 GROUP BY k)
+ch(k, here, depth) AS (SELECT k, k, 0 FROM o UNION ALL SELECT ch.k, up.base, depth + 1 FROM ch JOIN up ON up.k = ch.here WHERE up.base IS NOT NULL AND depth < 20),
+near AS (SELECT k, arg_min(here, depth) AS here FROM ch WHERE here % 2 = 0 GROUP BY k)
 SELECT 'Extends' AS kind, {_CLASS.format("k")} AS source, {_CLASS.format("base")} AS target FROM up WHERE base IS NOT NULL
-UNION ALL SELECT 'Calls', {_RUN.format("k")}, {_CLASS.format("at")} || '::step' FROM near
+UNION ALL SELECT 'Calls', {_RUN.format("k")}, {_CLASS.format("here")} || '::step' FROM near
 UNION ALL SELECT 'Calls', {_CLASS.format("o.k")} || '::step', {_RUN.format("n.k")} FROM o JOIN o n ON n.k = o.k + 1 WHERE o.k % 2 = 0
 UNION ALL SELECT DISTINCT CASE WHEN l_returnflag = 'R' THEN 'WritesDb' ELSE 'ReadsDb' END, {_RUN.format("l_orderkey")}, 'part_' || CAST(l_partkey % 50 AS VARCHAR) FROM lineitem JOIN o ON o.k = l_orderkey"""
 
