@@ -29,7 +29,9 @@ def _files(g: Graph) -> DataFrame:
     up = F.when(key % 5 > 0, text(" extends O", F.floor(key / 3))).otherwise("")
     step = F.when(key % 2 == 0, text("  private function step() {\n    $x = new O", key + 1, "();\n    $x->run([1, 'a}']);\n  }\n")).otherwise("")
     body = text("<?php\nnamespace app\\model;\nclass O", key, up, " {\n  public function run(array $ids) {\n", F.coalesce("lines", F.lit("")), "    $this->step();\n  }\n", step, "}\n")
-    return g.table("orders").join(lines, "o_orderkey", "left").select(text("app/model/O", key, ".php").alias("path"), F.lit("php").alias("language"), body.cast("binary").alias("content"))
+    files = g.table("orders").join(lines, "o_orderkey", "left").select(text("app/model/O", key, ".php").alias("path"), F.lit("php").alias("language"), body.cast("binary").alias("content"))
+    # parsing costs far more than its few bytes say: every core gets a share
+    return files.repartition(g.spark.sparkContext.defaultParallelism, "path")
 
 
 def _built(g: Graph) -> dict[str, DataFrame]:
