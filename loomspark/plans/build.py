@@ -37,6 +37,16 @@ class Stack:
     raw: tuple[str, ...] = ("Db::{query,execute}", "DB::{select,statement,raw}", "*::{whereRaw,orderRaw,fieldRaw}")
     transactions: tuple[str, ...] = ("starttrans", "begintransaction", "transaction")
     sources: str = r"\$_(GET|POST|REQUEST|COOKIE|SERVER)\b|\binput\s*\(|request\s*\(\s*\)|->(param|get|post|input)\s*\("
+    # names of annotations and decorators that make a method a route, with their verb (``ANY`` reads it from the arguments)
+    route_marks: tuple[tuple[str, str], ...] = (
+        *[(f"{v}mapping", v.upper()) for v in ("get", "post", "put", "patch", "delete")], *[(f"http{v}", v.upper()) for v in ("get", "post", "put", "patch", "delete")],
+        *[(v, v.upper()) for v in ("get", "post", "put", "patch", "delete")], ("requestmapping", "ANY"), ("route", "ANY"), ("all", "ANY"),
+    )
+    class_prefixes: tuple[str, ...] = ("requestmapping", "controller", "route")
+    guard_marks: tuple[str, ...] = ("preauthorize", "secured", "rolesallowed", "authorize", "useguards", "isgranted", "login_required", "jwt_required", "permission_required")
+    public_marks: tuple[str, ...] = ("allowanonymous", "permitall", "public")
+    guard_calls: tuple[str, ...] = ("middleware",)
+    authentication: str = r"(?i)auth|login|token|jwt|permission|grant|secured|role"
     # (pattern, node kind, edge kind) of calls whose first argument is a literal name
     named: tuple[tuple[str, str, str], ...] = (
         ("config", "ConfigKey", "ReadsConfig"), ("env", "ConfigKey", "ReadsConfig"), ("Config::get", "ConfigKey", "ReadsConfig"),
@@ -149,16 +159,69 @@ def table_calls(calls: DataFrame, models: DataFrame, stack: Stack) -> DataFrame:
     return met.select("id", "owner", F.coalesce("written", "model_table").alias("table"), verb.isin(*stack.writes).alias("writes")).where("table is not null and table <> ''")
 
 
+def _path(written: Column) -> Column:
+    """A route's path as part of a contract's name: parameters of any notation become ``:*``."""
+    plain = F.regexp_replace(written, r"\$?\{[^}/]*\}|<[^>/]*>", ":*")
+    return F.regexp_replace(naming.normalize(plain, ["strip_query", "param_wildcard", "leading_slash", "collapse_slashes"]), r"(?<=.)/$", "")
+
+
+def annotated(facts: DataFrame, classes: DataFrame, stack: Stack) -> DataFrame:
+    """Routes (name, to, cls, language) of annotated methods and decorated functions: each path of the annotation below
+    each path at the class, or below the prefix of the object whose decorator it is.  Paths with blanks are no routes; in
+    Python and Rust a path begins with a slash or is empty."""
+    notes = facts.where("family = 'annotation'").withColumn("mark", F.lower("name"))
+    plain = F.filter("args", lambda a: ~a.rlike(r"^\w+\s*[=:](?!=)") | a.rlike(r"^(?:value|path)\s*[=:]"))
+    first = F.regexp_replace(F.coalesce(F.get(plain, F.lit(0)), F.lit("")), r"^(?:value|path)\s*[=:]\s*", "")
+    several = F.regexp_extract_all(first, F.lit("[\"']([^\"']*)[\"']"), F.lit(1))
+    paths = F.explode(F.when(first.rlike("[\"']"), several).otherwise(F.array(first))).alias("path")
+    given = F.array_join(F.filter("args", lambda a: a.rlike(r"^methods?\s*[=:]")), " ")
+    verbs = F.array_distinct(F.regexp_extract_all(F.upper(given), F.lit(r"\b(GET|POST|PUT|PATCH|DELETE)\b"), F.lit(1)))
+    fixed = reduce(lambda w, x: w.when(F.col("mark") == x[0], x[1]), stack.route_marks, F)
+    alone = F.when((F.col("language") == "python") & (F.col("mark") == "route"), "GET").otherwise("ANY")
+    own = notes.where(F.col("mark").isin(*[m for m, _ in stack.route_marks]) & (F.col("detail") == "function") & ((F.col("language") != "python") | F.col("receiver").isNotNull()))
+    own = own.select("path", "receiver", F.col("owner").alias("to"), "cls", "language", F.when(F.size(verbs) > 0, verbs).otherwise(F.array(F.when(fixed != "ANY", fixed).otherwise(alone))).alias("verbs"), paths.alias("own"))
+    own = own.where(F.col("own").rlike(r"^\S*$") & (~F.col("language").isin("python", "rust") | F.col("own").rlike("^(?:/|$)")))
+    at_class = notes.where(F.col("mark").isin(*stack.class_prefixes) & (F.col("detail") == "class") & ~((F.col("language") == "java") & (F.col("mark") != "requestmapping"))).select("cls", paths.alias("prefix")).where(F.col("prefix").rlike(r"^\S*$"))
+    objects = facts.where("family = 'assign' and language = 'python'").select("path", F.col("name").alias("receiver"), F.regexp_extract("detail", r"\b(?:url_)?prefix\s*=\s*['\"]([^'\"]*)['\"]", 1).alias("below")).where("below <> ''").groupBy("path", "receiver").agg(F.min("below").alias("below"))
+    met = own.join(at_class, "cls", "left").join(objects, ["path", "receiver"], "left").join(classes.select(F.col("fqn").alias("cls"), "short"), "cls", "left")
+    full = F.concat_ws("/", "prefix", "below", F.nullif("own", F.lit("")))
+    full = F.replace(full, F.lit("[controller]"), F.coalesce(F.regexp_replace(F.lower("short"), "controller$", ""), F.lit("[controller]")))
+    full = F.replace(full, F.lit("[action]"), F.lower(naming.owner_member("to")))
+    return met.select(F.explode("verbs").alias("verb"), _path(full).alias("path"), "to", "cls", "language").select(F.concat_ws(" ", "verb", "path").alias("name"), "to", "cls", "language").distinct()
+
+
+def guarded(calls: DataFrame, facts: DataFrame, marked: DataFrame, stack: Stack) -> DataFrame:
+    """(contract, guard) of what requests pass: annotations at a route's method or its class (``marked`` as ``annotated``
+    gives it), calls chained to a route, and arguments between path and handler; a guard '' says that none is asked."""
+    notes = facts.where("family = 'annotation'").withColumn("mark", F.lower("name"))
+    named = F.filter("args", lambda a: a.rlike(r"^[\w\\.]+$"))
+    guard = F.when(F.col("mark").isin(*stack.public_marks), F.array(F.lit(""))).when(F.size(named) > 0, named).otherwise(F.array("name"))
+    held = notes.where(F.col("mark").isin(*stack.guard_marks, *stack.public_marks)).select(F.coalesce("owner", "cls").alias("at"), F.explode(guard).alias("guard"))
+    noted = marked.select("name", F.col("to").alias("at")).union(marked.where("cls is not null").select("name", F.col("cls").alias("at"))).join(held, "at").select("name", "guard")
+    on = F.lower(naming.short_name(F.regexp_replace("receiver", "->", "."))).isin(*[n.lower() for n in stack.routes])
+    verb = lambda x: F.lower(x).isin(*stack.verbs, "any", "rule")
+    step = F.get(F.filter(F.arrays_zip("chain", "chain_args"), lambda x: verb(x["chain"])), F.lit(0))
+    words = lambda a: F.filter(F.flatten(F.transform(a, lambda x: F.split(F.regexp_replace(x, r"^\[|\]$|['\"\s]|::class", ""), ","))), lambda x: x.rlike(r"^[\w\\.:-]+$"))
+    chained = calls.where(on & F.lower("method").isin(*stack.guard_calls)).withColumn("step", step).where("step is not null")
+    chained = chained.select(F.concat_ws(" ", F.upper("step.chain"), _path(F.col("step.chain_args"))).alias("name"), F.explode(words(F.col("args"))).alias("guard"))
+    between = calls.where(on & verb(F.col("method")) & (F.col("language") == "javascript") & (F.size("args") > 2))
+    between = between.select(F.concat_ws(" ", F.upper("method"), _path(F.get("args", F.lit(0)))).alias("name"), F.explode(words(F.slice("args", 2, F.size("args") - 2))).alias("guard"))
+    return noted.union(chained).union(between).select(F.col("name").alias("contract"), F.regexp_replace("guard", r"^\\+", "").alias("guard")).distinct()
+
+
 def contracts(calls: DataFrame, stack: Stack) -> tuple[DataFrame, DataFrame]:
-    """Routes (name, handler, file) that the project serves and requests (name, owner) that it sends; names are
-    ``METHOD /path`` with parameters as wildcards."""
-    path = F.regexp_replace(naming.normalize(F.get("args", F.lit(0)), ["strip_query", "param_wildcard", "leading_slash", "collapse_slashes"]), r"(?<=.)/$", "")
+    """Routes (name, handler, file, language) that the project serves by calls and requests (name, owner) that it sends;
+    names are ``METHOD /path`` with parameters as wildcards.  In a Ruby route file commands without receiver are routes."""
+    path = _path(F.get("args", F.lit(0)))
     verb = F.upper("method")
-    literal = F.get("args", F.lit(0)).rlike(r"^[\w/:{}.?=&$-]+$")
+    literal = F.get("args", F.lit(0)).rlike(r"^[\w/:{}<>.?=&$-]+$")
     on = lambda names: F.lower(naming.short_name(F.regexp_replace("receiver", "->", "."))).isin(*[n.lower() for n in names])
-    served = calls.where(literal & on(stack.routes) & F.lower("method").isin(*stack.verbs, "any", "rule") & (F.size("args") > 1))
-    own = served.select(F.concat_ws(" ", verb, path).alias("name"), F.get("args", F.lit(1)).alias("handler"), "file", "id")
-    routed = own.groupBy("name").agg(F.min_by(F.struct("handler", "file"), "id").alias("x")).select("name", "x.handler", "x.file")
+    command = (F.col("language") == "ruby") & F.col("receiver").isNull() & F.col("file").rlike(r"(?:^|/)routes(?:/[^/]+)?\.rb$")
+    served = calls.where(literal & (F.coalesce(on(stack.routes), F.lit(False)) | command) & F.lower("method").isin(*stack.verbs, "any", "rule") & (F.size("args") > 1))
+    last = F.when(F.col("language") == "javascript", F.element_at("args", -1)).otherwise(F.get("args", F.lit(1)))
+    handler = F.when(command, F.concat_ws("Controller@", F.transform(F.split(F.regexp_replace(last, r"^(?:to:|=>)\s*|['\"\s]", ""), "#"), lambda x, i: F.when(i == 0, F.replace(F.initcap(F.replace(x, F.lit("_"), F.lit(" "))), F.lit(" "))).otherwise(x)))).otherwise(last)
+    own = served.select(F.concat_ws(" ", verb, path).alias("name"), handler.alias("handler"), "file", "language", "id")
+    routed = own.groupBy("name").agg(F.min_by(F.struct("handler", "file", "language"), "id").alias("x")).select("name", "x.*")
     plain = F.col("receiver").isNull() & (F.col("method") == "fetch")
     sent = calls.where(literal & (plain | (on(stack.clients) & F.lower("method").isin(*stack.verbs))) & F.col("language").isin("javascript"))
     return routed, sent.select(F.concat_ws(" ", F.when(plain, "GET").otherwise(verb), path).alias("name"), "owner").distinct()
@@ -188,9 +251,14 @@ def graph_of(facts: DataFrame, schema: DataFrame, stack: Stack = Stack()) -> dic
     access = stage(table_calls(calls, models, stack))
     routes, sent = contracts(calls, stack)
     served = stage(routes)
+    marked = stage(annotated(facts, r.classes, stack))
+    guards = stage(guarded(calls, facts, marked, stack))
     literal = F.get("args", F.lit(0))
     named = F.array_compact(F.array(*[F.when(_calls_any(F.col("receiver"), F.col("method"), [p]), F.struct(F.lit(k).alias("node_kind"), F.lit(e).alias("kind"))) for p, k, e in stack.named]))
     things = calls.where(literal.rlike(r"^[\w.:/-]+$")).select("owner", literal.alias("name"), F.explode(named).alias("x")).select("owner", "name", "x.*").distinct()
+    known = served.select("name").union(marked.select("name")).distinct()
+    passed = guards.where("guard <> ''").join(known, guards.contract == known.name, "left_semi")
+    things = things.unionByName(passed.select(node_id("contract", "contract").alias("owner"), F.col("guard").alias("name"), F.lit("Middleware").alias("node_kind"), F.lit("PassesThrough").alias("kind")))
 
     columns = {f.split()[0]: f.split()[1] for f in SCHEMAS["nodes"].split(", ")}
 
@@ -201,8 +269,10 @@ def graph_of(facts: DataFrame, schema: DataFrame, stack: Stack = Stack()) -> dic
     at = F.to_json(F.struct(F.col("file").alias("path"), "line"))
     columns_of = schema.select(F.lower("table").alias("table"), F.explode("columns").alias("column")).distinct()
     tables = schema.select("table").union(access.select("table")).union(models.select("table")).groupBy(F.lower("table").alias("low")).agg(F.min("table").alias("table"))
-    both = served.select("name", F.lit(True).alias("back"), F.nullif("handler", F.lit("")).alias("handler")).unionByName(sent.select("name", F.lit(False).alias("back"), F.lit(None).cast("string").alias("handler")))
-    both = both.groupBy("name").agg(F.max("back").alias("back"), F.max("handler").alias("handler"))
+    both = served.select("name", F.lit(True).alias("back"), F.nullif("handler", F.lit("")).alias("handler"), "language")
+    both = both.unionByName(marked.select("name", F.lit(True).alias("back"), F.col("to").alias("handler"), "language"))
+    both = both.unionByName(sent.select("name", F.lit(False).alias("back"), F.lit(None).cast("string").alias("handler"), F.lit(None).cast("string").alias("language")))
+    both = both.groupBy("name").agg(F.max("back").alias("back"), F.max("handler").alias("handler"), F.min("language").alias("language"))
     side = F.when(F.col("back"), "backend").otherwise("frontend")
     parts = [
         nodes(facts.where("family = 'file'"), "File", id=node_id("file", "path"), name=F.col("name"), fqn=F.col("path"), language=F.col("language")),
@@ -211,7 +281,7 @@ def graph_of(facts: DataFrame, schema: DataFrame, stack: Stack = Stack()) -> dic
         nodes(calls, "CallSite", id=F.col("id"), name=F.concat_ws("::", "receiver", "method"), fqn=F.col("owner_name"), language=F.col("language"), in_loop=F.col("in_loop"), props=F.to_json(F.struct("in_loop", F.col("text").alias("snippet"), F.col("file").alias("path"), "line"))),
         nodes(tables, "Table", id=node_id("table", "low"), name=F.col("table"), identity=F.concat(F.lit("table "), "low"), language=F.lit("sql")),
         nodes(columns_of, "Column", id=node_id("column", "table", "column"), name=F.col("column"), fqn=F.concat_ws(".", "table", "column"), language=F.lit("sql")),
-        nodes(both, "HttpContract", id=node_id("contract", "name"), name=F.col("name"), identity=F.col("name"), side=side, language=F.when(F.col("back"), "php").otherwise("javascript"), props=F.to_json(F.struct(side.alias("side"), "handler"))),
+        nodes(both, "HttpContract", id=node_id("contract", "name"), name=F.col("name"), identity=F.col("name"), side=side, language=F.coalesce("language", F.lit("javascript")), props=F.to_json(F.struct(side.alias("side"), "handler"))),
         nodes(things.select("node_kind", "name").distinct(), F.col("node_kind"), id=node_id("thing", "node_kind", "name"), name=F.col("name")),
     ]
 
@@ -229,15 +299,16 @@ def graph_of(facts: DataFrame, schema: DataFrame, stack: Stack = Stack()) -> dic
         edges(models, "MapsTo", node_id("class", "fqn"), table, 0.9),
         edges(columns_of, "HasColumn", table, node_id("column", "table", "column")),
         edges(handled(served, r), "HandledBy", F.col("from_id"), F.col("to_id")),
+        edges(marked, "HandledBy", node_id("contract", "name"), node_id("function", "to")),
         edges(sent, "CallsHttp", F.col("owner"), node_id("contract", "name")),
         edges(things, F.col("kind"), F.col("owner"), node_id("thing", "node_kind", "name"), 0.9),
     ]
     all_edges = stage(reduce(DataFrame.unionByName, links).groupBy("kind", "from_id", "to_id").agg(F.max("confidence").alias("confidence")))
-    return {"nodes": reduce(DataFrame.unionByName, parts), "edges": all_edges, "marks": marks_of(calls, access, all_edges, facts, stack)}
+    return {"nodes": reduce(DataFrame.unionByName, parts), "edges": all_edges, "marks": marks_of(calls, access, all_edges, facts, guards.join(known, guards.contract == known.name, "left_semi"), stack)}
 
 
-def marks_of(calls: DataFrame, access: DataFrame, edges: DataFrame, facts: DataFrame, stack: Stack) -> DataFrame:
-    """Annotations: queries and writes, external calls in loops, raw statements with the origin of their variables,
+def marks_of(calls: DataFrame, access: DataFrame, edges: DataFrame, facts: DataFrame, guards: DataFrame, stack: Stack) -> DataFrame:
+    """Annotations: what guards of contracts ask for, queries and writes, external calls in loops, raw statements with the origin of their variables,
     transactions and methods that write several tables without one."""
     hit = lambda patterns: _calls_any(F.col("receiver"), F.col("method"), patterns)
     mark = lambda df, channel, kind, node="id": df.select(F.col(node).alias("node_id"), F.lit(channel).alias("channel"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"))
@@ -251,6 +322,7 @@ def marks_of(calls: DataFrame, access: DataFrame, edges: DataFrame, facts: DataF
     taint = traced.unionByName(straight.withColumn("kind", F.lit("tainted")))
     tx = calls.where(F.lower("method").isin(*stack.transactions))
     several = phases.multi_write_without_tx(edges, tx.select(F.col("owner").alias("node_id")))
+    asked = guards.where((F.col("guard") == "") | F.col("guard").rlike(stack.authentication)).withColumn("id", node_id("contract", "contract"))
     rows = [
         mark(access, "DbQuery", F.when(F.col("writes"), "db-write").otherwise("db-query")),
         mark(calls.where(F.col("in_loop") & hit(stack.external)), "External", "ext-call-in-loop"),
@@ -258,6 +330,7 @@ def marks_of(calls: DataFrame, access: DataFrame, edges: DataFrame, facts: DataF
         mark(taint, "Taint", F.when(F.col("kind") == "tainted", "tainted_raw").otherwise("tainted_raw_unknown")),
         mark(tx, "Tx", "tx-marker"),
         mark(several, "Tx", "multi-write-without-tx", "node_id"),
+        mark(asked, "Capability", F.when(F.col("guard") == "", "auth.public").when(F.col("guard").rlike("(?i)optional"), "auth.optional").otherwise("Authentication")),
     ]
     return reduce(DataFrame.unionByName, rows).distinct()
 

@@ -35,10 +35,14 @@ def _files(g: Graph) -> DataFrame:
 
 
 def _built(g: Graph) -> dict[str, DataFrame]:
-    key = g._state("edges")
+    return _graph(g, "orders", _files)
+
+
+def _graph(g: Graph, name: str, files) -> dict[str, DataFrame]:
+    key = (name, g._state("edges"))
     if key not in _BUILT:
         schema = g.table("part").limit(0).select(F.lit("").alias("table"), F.array(F.lit("")).alias("columns"))
-        _BUILT[key] = graph_of(stage(scopes.parse(_files(g), "")), schema)
+        _BUILT[key] = graph_of(stage(scopes.parse(files(g), "")), schema)
     return _BUILT[key]
 
 
@@ -89,3 +93,49 @@ SELECT kind, in_loop, count(*) AS n FROM (
 def source_graph_sites(g: Graph):
     own = _built(g)["nodes"].where("kind = 'CallSite' and (name like 'Db::%' or name = 'this::step')")
     return own.groupBy(F.col("name").alias("kind"), "in_loop").agg(F.count("*").alias("n"))
+
+
+def _text(*parts):
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+def _route_files(g: Graph) -> DataFrame:
+    """(path, language, content): ten customers are a class (or a router) of Java, TypeScript, C# or Python in turn; each
+    is a route below its own path, a write if its key divides by three, guarded if it divides by five."""
+    k, j = F.col("c_custkey"), F.floor(F.col("c_custkey") / 10)
+    turn, post, held = j % 4, k % 3 == 0, k % 5 == 0
+    when = lambda get, write: F.when(post, write).otherwise(get)
+    guard = lambda text: F.when(held, text).otherwise("")
+    route = (
+        F.when(turn == 0, _text("  @", when("Get", "Post"), 'Mapping("/{id}/c', k, '")\n', guard('  @PreAuthorize("x y")\n'), "  public int m", k, "() { return 1; }\n"))
+        .when(turn == 1, _text("  @", when("Get", "Post"), "(':id/c", k, "')\n", guard("  @UseGuards(AuthGuard)\n"), "  m", k, "() { return 1 }\n"))
+        .when(turn == 2, _text("  [Http", when("Get", "Post"), '("{id}/c', k, '")]\n', guard("  [Authorize]\n"), "  public int m", k, "() { return 1; }\n"))
+        .otherwise(_text("@r.", when("get", "post"), "('/{id}/c", k, "')\n", guard("@login_required\n"), "def m", k, "(id):\n    return 1\n"))
+    )
+    made = g.table("customer").groupBy(j.alias("j")).agg(F.array_join(F.sort_array(F.collect_list(route)), "").alias("routes"))
+    j, turn = F.col("j"), F.col("j") % 4
+    head = F.when(turn == 0, _text('@RequestMapping("/g', j, '")\npublic class C', j, " {\n")).when(turn == 1, _text("@Controller('g", j, "')\nexport class C", j, " {\n"))
+    head = head.when(turn == 2, _text('[Route("g', j, '")]\npublic class C', j, " {\n")).otherwise(_text("r = APIRouter(prefix='/g", j, "')\n"))
+    content = F.concat(head, "routes", F.when(turn < 3, "}\n").otherwise("")).cast("binary")
+    pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), (turn + 1).cast("int"))
+    files = made.select(_text("web/c", j, pick(".java", ".ts", ".cs", ".py")).alias("path"), pick("java", "javascript", "csharp", "python").alias("language"), content.alias("content"))
+    return files.repartition(g.spark.sparkContext.defaultParallelism, "path")
+
+
+_ROUTES = """
+WITH c AS (SELECT c_custkey AS k, CAST(floor(c_custkey / 10) AS BIGINT) AS j FROM customer),
+r AS (SELECT k, j % 4 AS t, j, CASE WHEN k % 3 = 0 THEN 'POST' ELSE 'GET' END || ' /g' || CAST(j AS VARCHAR) || '/:*/c' || CAST(k AS VARCHAR) AS name FROM c)
+SELECT 'HandledBy' AS kind, name AS source, CASE t WHEN 1 THEN 'web.c' || CAST(j AS VARCHAR) || '.' WHEN 3 THEN 'web.c' || CAST(j AS VARCHAR) || '.' ELSE '' END
+  || CASE WHEN t < 3 THEN 'C' || CAST(j AS VARCHAR) || '::' ELSE '' END || 'm' || CAST(k AS VARCHAR) AS target FROM r
+UNION ALL SELECT 'PassesThrough', name, CASE t WHEN 0 THEN 'PreAuthorize' WHEN 1 THEN 'AuthGuard' WHEN 2 THEN 'Authorize' ELSE 'login_required' END FROM r WHERE k % 5 = 0
+UNION ALL SELECT 'Authentication', name, '' FROM r WHERE k % 5 = 0"""
+
+
+@query("source_route_edges", _ROUTES, graph=False)
+def source_route_edges(g: Graph):
+    parts = _graph(g, "customers", _route_files)
+    names = parts["nodes"].select("id", F.coalesce("fqn", "name").alias("label"))
+    own = parts["edges"].where("kind in ('HandledBy', 'PassesThrough')").join(names.select(F.col("id").alias("from_id"), F.col("label").alias("source")), "from_id")
+    own = own.join(names.select(F.col("id").alias("to_id"), F.col("label").alias("target")), "to_id").select("kind", "source", "target")
+    asked = parts["marks"].where("channel = 'Capability'").join(names.withColumnRenamed("id", "node_id"), "node_id")
+    return own.unionByName(asked.select("kind", F.col("label").alias("source"), F.lit("").alias("target")))

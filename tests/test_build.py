@@ -72,3 +72,49 @@ def test_calls_know_their_scope():
     assert _calls("rust", "struct S; impl<T> Run<T> for S { fn go<'a>(&'a self, b: &B) { for i in 0..3 { b.run(i); } S::new(); } }") == {("a.b.S::go", "b", "run", ("i",), True), ("a.b.S::go", "S", "new", (), False)}
     assert _calls("python", "class K:\n    def f(self, r):\n        for x in r.all():\n            r.table('u').find(x)\n") == {("a/b".replace("/", ".") + ".K::f", "r", "all", (), False), ("a.b.K::f", "r", "table", ("u",), True), ("a.b.K::f", "r", "find", ("x",), True)}
     assert _calls("javascript", "function go() { items.forEach(x => save(x)) }\nclass A { m() { /* no() */ return `no()` } }") == {("a.b.go", "items", "forEach", ("x => save(x)",), False), ("a.b.go", None, "save", ("x",), False)}
+
+
+STACKS = {
+    "a/Users.java": 'package a; @RestController @RequestMapping("/api") public class Users { @Autowired Repo r; @GetMapping({"/u/{id}", "/me"}) @PreAuthorize("hasRole(1)") public X one(@PathVariable int id) { return r.find(id); } @Delete("DELETE FROM t") int gone() { return 1; } @RequestMapping(value = "/u", method = {RequestMethod.POST, RequestMethod.PUT}) @PermitAll void add() {} }',
+    "b/cats.ts": "@Controller('cats')\n@UseGuards(JwtGuard)\nexport class Cats { @Get(':id') one(@Param('id') id: string) { return id } @Post() make() { } }",
+    "c/U.cs": 'namespace N { [Route("v1/[controller]")] public class DogsController : Base { [HttpPost("{id}")] [Authorize] public int Go(int[] a) { return go(a[0]); } [HttpGet] public int All() { return 1; } } }',
+    "d/u.rs": '#[get("/r/{id}")]\nasync fn r_one(id: i32) -> R { go(id) }\n#[cfg(test)]\nfn other() {}\n',
+    "e/U.php": "<?php\nnamespace e;\n#[Route('/s')]\nclass Shop { #[Route('/{id}', name: 'n', methods: ['POST'])] #[IsGranted('ROLE')] public function buy(): R { return 1; } }",
+    "f/u.py": "from x import APIRouter\nr = APIRouter(prefix='/p')\n@r.get('/{id}')\n@login_required\ndef p_one(id): return go(id)\n@r.route('/many', methods=['PUT'])\ndef p_many(): pass\n@mock.patch('a.b')\ndef no(): pass\n",
+    "web/r.js": "router.get('/m/:id', optionalAuth, show)\nfunction show() { }\n",
+    "route.php": "<?php\nRoute::post('q/<id>', 'Shop@buy')->middleware(['Log', 'auth']);\n",
+    "config/routes.rb": "Rails.application.routes.draw do\n  get '/rb/:id', to: 'big_users#show' # here\nend\n",
+    "app/big.rb": "class BigUsersController < Base\n  def show\n    items.each do |x|\n      helper.save(x)\n    end\n    @log = Log.new\n    @log.line('a') if x\n  end\nend\nclass Log\n  def line(x)\n  end\nend\n",
+}
+
+
+def test_annotations_make_routes_and_guards(spark, tmp_path):
+    for name, text in STACKS.items():
+        (tmp_path / "src" / os.path.dirname(name)).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "src" / name).write_text(text)
+    engine = service.Engine(spark, f"file://{tmp_path}/projects")
+    engine.build("p", str(tmp_path / "src"))
+    nodes = {r.id: r for r in engine.part("p", "nodes").collect()}
+    edges = engine.part("p", "edges").collect()
+    assert all(e.from_id in nodes and e.to_id in nodes for e in edges)
+    pairs = lambda kind: {(nodes[e.from_id].name, nodes[e.to_id].name) for e in edges if e.kind == kind}
+    assert pairs("HandledBy") == {
+        ("GET /api/u/:*", "one"), ("GET /api/me", "one"), ("POST /api/u", "add"), ("PUT /api/u", "add"), ("GET /cats/:*", "one"), ("POST /cats", "make"),
+        ("POST /v1/dogs/:*", "Go"), ("GET /v1/dogs", "All"), ("GET /r/:*", "r_one"), ("POST /s/:*", "buy"), ("GET /p/:*", "p_one"), ("PUT /p/many", "p_many"),
+        ("GET /m/:*", "show"), ("POST /q/:*", "buy"), ("GET /rb/:*", "show"),
+    }
+    assert pairs("PassesThrough") == {
+        ("GET /api/u/:*", "PreAuthorize"), ("GET /api/me", "PreAuthorize"), ("GET /cats/:*", "JwtGuard"), ("POST /cats", "JwtGuard"), ("POST /v1/dogs/:*", "Authorize"),
+        ("POST /s/:*", "ROLE"), ("GET /p/:*", "login_required"), ("GET /m/:*", "optionalAuth"), ("POST /q/:*", "Log"), ("POST /q/:*", "auth"),
+    }
+    marks = {(nodes[m.node_id].name, m.kind) for m in engine.part("p", "marks").where("channel = 'Capability'").collect()}
+    assert ("GET /m/:*", "auth.optional") in marks and ("POST /api/u", "auth.public") in marks and ("POST /q/:*", "Authentication") in marks
+    assert ("show", "line") in pairs("Calls")
+    hits = {(r.rule_id, r.name) for r in engine.check("p", {"write-endpoint-without-auth"}, {"write-endpoint-without-auth": {"enabled": True}}).collect()}
+    assert ("write-endpoint-without-auth", "POST /q/:*") not in hits
+
+
+def test_ruby_knows_scopes_and_loops():
+    text = "module M\n  class A < B\n    def go(x) # no()\n      x.each do |i|\n        save(i, \"#{i} end\")\n      end\n      run unless x\n    end\n    def self.made\n      if a\n        A.new(1)\n      end\n    end\n  end\nend\n"
+    assert _calls("ruby", text) == {("M.A::go", "x", "each", (), False), ("M.A::go", None, "save", ("i", "#{i} end"), True), ("M.A::made", "A", "new", ("1",), False)}
+    assert scopes.facts_of("a.rb", "ruby", "") == [] and scopes.facts_of("a.rb", "ruby", "end\nend\ndef") == []
