@@ -16,7 +16,7 @@ def multi_write_without_tx(edges: DataFrame, marked_methods: DataFrame) -> DataF
 
 def external_in_loop(calls: DataFrame, external: DataFrame) -> DataFrame:
     """Call sites (id, callee, in_loop) in loops whose callee is an external call (callee)."""
-    return calls.where("in_loop").join(F.broadcast(external.select("callee").distinct()), "callee", "left_semi").select("id")
+    return calls.where("in_loop").join(external.select("callee").distinct(), "callee", "left_semi").select("id")
 
 
 def weak_signs(compares: DataFrame, calls: DataFrame) -> DataFrame:

@@ -219,4 +219,4 @@ def i18n(files: DataFrame, locale: str) -> DataFrame:
 
 def detect_frameworks(dependencies: DataFrame, detectors: DataFrame) -> DataFrame:
     """(sub, framework, confidence): dependencies (sub, name) against detectors (name, framework, confidence)."""
-    return dependencies.join(F.broadcast(detectors), "name").groupBy("sub", "framework").agg(F.max("confidence").alias("confidence"))
+    return dependencies.join(detectors, "name").groupBy("sub", "framework").agg(F.max("confidence").alias("confidence"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,20 @@ def watch_files(spark: SparkSession, root: str, rebuild: Callable[[DataFrame, in
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+def cooled(rebuild: Callable[[DataFrame, int], None], seconds: float = 30.0, clock: Callable[[], float] = time.monotonic, wait: Callable[[float], None] = time.sleep) -> Callable[[DataFrame, int], None]:
+    """``rebuild`` at most once in ``seconds``: a batch that comes earlier waits, so what changes meanwhile is in the next
+    batch and no change is lost."""
+    ended: list[float] = []
+
+    def run(batch: DataFrame, number: int) -> None:
+        if ended:
+            wait(max(0.0, ended[-1] + seconds - clock()))
+        rebuild(batch, number)
+        ended[:] = [clock()]
+
+    return run
+
+
 def poll_interval(files: int, quiet_rounds: int = 0) -> float:
     """Seconds to the next look at a tree: 2, 5 or 10 by its size, doubled while nothing changes, 30 at most."""
     base = 2.0 if files < 2_000 else 5.0 if files < 10_000 else 10.0
