@@ -1,4 +1,5 @@
 import os
+import random
 
 from loomspark import service
 from loomspark.sources import scopes
@@ -118,3 +119,13 @@ def test_ruby_knows_scopes_and_loops():
     text = "module M\n  class A < B\n    def go(x) # no()\n      x.each do |i|\n        save(i, \"#{i} end\")\n      end\n      run unless x\n    end\n    def self.made\n      if a\n        A.new(1)\n      end\n    end\n  end\nend\n"
     assert _calls("ruby", text) == {("M.A::go", "x", "each", (), False), ("M.A::go", None, "save", ("i", "#{i} end"), True), ("M.A::made", "A", "new", ("1",), False)}
     assert scopes.facts_of("a.rb", "ruby", "") == [] and scopes.facts_of("a.rb", "ruby", "end\nend\ndef") == []
+
+
+def test_odd_texts_are_no_error():
+    pieces = ["class", "def", "end", "do", "|x|", "@A(", "[", "]", "(", ")", "{", "}", "#[", "'", '"', "x", "=", "a.b", "::", "<", ",", ";", "\n", "fn", "function", "if", "@interface", "=>", "impl", "for", "<?php", "use"]
+    draw = random.Random(5)
+    for _ in range(500):
+        text = " ".join(draw.choices(pieces, k=draw.randint(1, 40)))
+        for language in ("php", "javascript", "java", "csharp", "rust", "python", "ruby"):
+            scopes.facts_of("a/b.x", language, text)
+    assert [r["name"] for r in scopes.facts_of("a.rs", "rust", "impl <")] == ["impl"]
