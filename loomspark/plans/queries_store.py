@@ -99,7 +99,7 @@ def external(g: Graph):
 
 @query("contract_bridge", "SELECT f.id AS from_id, b.id AS to_id FROM nodes f JOIN nodes b ON f.kind = 'HttpContract' AND b.kind = 'HttpContract' AND f.side = 'frontend' AND b.side = 'backend' AND f.sub <> b.sub AND regexp_replace(f.name, '/\\d+$', '') = regexp_replace(b.name, '/\\d+$', '')")
 def contract_bridge(g: Graph):
-    own = g.nodes.where("kind = 'HttpContract'").select("id", "sub", "side", F.regexp_replace("name", r"/\d+$", "").alias("name"))
+    own = g.nodes_of("HttpContract").select("id", "sub", "side", F.regexp_replace("name", r"/\d+$", "").alias("name"))
     return bridge(own).select("from_id", "to_id")
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from loomspark.functions import naming
 from loomspark.operators import graph, joins, phases, store
 from loomspark.plans import recall
+from loomspark.plans.projection import Graph
 from loomspark.streaming import watch
 
 
@@ -108,6 +109,36 @@ def test_phases(spark):
     assert [tuple(r) for r in phases.bridge(contracts).collect()] == [(1, 3, 0)]
 
 
+def test_bridge_moves_contracts_not_pairs(spark, monkeypatch):
+    monkeypatch.setattr(phases, "FRONT_CELL", 3)
+    monkeypatch.setattr(phases, "BACK_ROW", 2)
+    draw = random.Random(3)
+    rows = [(i, draw.choice([None, 1, 2, 3]), draw.choice(["frontend", "backend", None]), draw.choice([None, "GET /a", "GET /a", "ANY /a", "RULE /a", "POST /b", "ANY /b", "GET /c", "x", "", "x"])) for i in range(200)]
+    cut = lambda name: ((name.split(" ", 1) + [""])[:2] if name is not None else (None, None))
+    met = set()
+    for i, a, side, name in rows:
+        for j, b, other, served in rows:
+            (m, path), (method, there) = cut(name), cut(served)
+            if (side, other) == ("frontend", "backend") and None not in (a, b, name, served) and a != b and path == there and (m == method or method in ("ANY", "RULE")):
+                met.add((i, j, 0 if m == method else 1))
+    best = {i: min(t for x, _, t in met if x == i) for i, _, _ in met}
+    found = phases.bridge(spark.createDataFrame(rows, "id long, sub long, side string, name string"))
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == {x for x in met if x[2] == best[x[0]]}
+    # above the join that makes pairs nothing is shuffled
+    plan = found._jdf.queryExecution().sparkPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
+    last = plan[plan.index("Initial Plan") :] if "Initial Plan" in plan else plan[plan.index("AdaptiveSparkPlan") :]
+    pairs = next(i for i, x in enumerate(last.splitlines()) if "NOT (a#" in x)
+    assert not any("Exchange" in x for x in last.splitlines()[:pairs])
+
+
+def test_one_kind_needs_no_written_graph(spark):
+    g = Graph(spark, "/root/testdata/sf0.001")
+    asked = g._view("nodes", written=False).where("kind = 'HttpContract'")
+    assert "lineitem" not in asked._jdf.queryExecution().optimizedPlan().toString() and "l_orderkey" not in asked._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(asked.collect()) == sorted(g.nodes.where("kind = 'HttpContract'").collect()) == sorted(g.nodes_of("HttpContract").collect())
+
+
 def test_naming(spark):
     rows = spark.createDataFrame([("app\\model\\StoreOrder",), ("quiz",), ("box",), ("UserRights",), ("status",), ("day",), ("",)], "s string")
     got = [tuple(r) for r in rows.select(naming.snake_plural("s"), naming.singularize(naming.pluralize("s"))).collect()]
