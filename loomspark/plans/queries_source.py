@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.staging import stage
 from ..sources import scopes
-from .build import graph_of
+from .build import SITE_COLUMNS, SITE_FAMILIES, call_sites, graph_of
 from .projection import Graph
 from .registry import query
 
@@ -21,17 +21,17 @@ _BUILT: dict[tuple, dict[str, DataFrame]] = {}
 def _files(g: Graph) -> DataFrame:
     """(path, language, content): one PHP file an order; at most seven lines of items each."""
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    verb = F.when(F.col("l_returnflag") == "R", "update([])").otherwise("select()")
-    line = text("Db::name('part_", F.col("l_partkey") % 50, "')->where('id', $i)->", verb, ";\n")
-    line = F.when(F.col("l_quantity") > 40, text("foreach ($ids as $i) { // each\n", line, "}\n")).otherwise(line)
-    lines = g.table("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.sort_array(F.collect_list(line)), "").alias("lines"))
+    # parsing costs far more than its few bytes say: every core gets a share; what is dealt out are keys, not texts
+    deal = lambda df: df.repartition(max(int(g.spark.conf.get("spark.sql.shuffle.partitions")), g.spark.sparkContext.defaultParallelism), "o_orderkey")
+    items = deal(g.table("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_partkey") % 50).alias("part"), (F.col("l_returnflag") == "R").alias("written"), (F.col("l_quantity") > 40).alias("many")))
+    line = text("Db::name('part_", F.col("part"), "')->where('id', $i)->", F.when(F.col("written"), "update([])").otherwise("select()"), ";\n")
+    line = F.when(F.col("many"), text("foreach ($ids as $i) { // each\n", line, "}\n")).otherwise(line)
+    lines = items.groupBy("o_orderkey").agg(F.array_join(F.sort_array(F.collect_list(line)), "").alias("lines"))
     key = F.col("o_orderkey")
     up = F.when(key % 5 > 0, text(" extends O", F.floor(key / 3))).otherwise("")
     step = F.when(key % 2 == 0, text("  private function step() {\n    $x = new O", key + 1, "();\n    $x->run([1, 'a}']);\n  }\n")).otherwise("")
     body = text("<?php\nnamespace app\\model;\nclass O", key, up, " {\n  public function run(array $ids) {\n", F.coalesce("lines", F.lit("")), "    $this->step();\n  }\n", step, "}\n")
-    files = g.table("orders").join(lines, "o_orderkey", "left").select(text("app/model/O", key, ".php").alias("path"), F.lit("php").alias("language"), body.cast("binary").alias("content"))
-    # parsing costs far more than its few bytes say: every core gets a share
-    return files.repartition(g.spark.sparkContext.defaultParallelism, "path")
+    return deal(g.table("orders").select("o_orderkey")).join(lines, "o_orderkey", "left").select(text("app/model/O", key, ".php").alias("path"), F.lit("php").alias("language"), body.cast("binary").alias("content"))
 
 
 def _built(g: Graph) -> dict[str, DataFrame]:
@@ -91,7 +91,9 @@ SELECT kind, in_loop, count(*) AS n FROM (
 
 @query("source_graph_sites", _SITES, graph=False)
 def source_graph_sites(g: Graph):
-    own = _built(g)["nodes"].where("kind = 'CallSite' and (name like 'Db::%' or name = 'this::step')")
+    # one pass over the files: neither the facts nor the graph are written
+    sites = call_sites(scopes.parse(_files(g), "", SITE_FAMILIES, SITE_COLUMNS))
+    own = sites.where("name like 'Db::%' or name = 'this::step'")
     return own.groupBy(F.col("name").alias("kind"), "in_loop").agg(F.count("*").alias("n"))
 
 

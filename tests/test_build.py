@@ -1,5 +1,8 @@
 import os
 import random
+import re
+
+import pytest
 
 from loomspark import service
 from loomspark.sources import scopes
@@ -129,3 +132,41 @@ def test_odd_texts_are_no_error():
         for language in ("php", "javascript", "java", "csharp", "rust", "python", "ruby"):
             scopes.facts_of("a/b.x", language, text)
     assert [r["name"] for r in scopes.facts_of("a.rs", "rust", "impl <")] == ["impl"]
+
+
+def _table(files, families=None, columns=tuple(scopes.COLUMNS)):
+    batch = scopes._facts([(path, language, text.encode()) for path, language, text in files], "/", families, list(columns))
+    return list(zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))))
+
+
+def test_files_that_differ_in_numbers_have_the_same_facts_as_parsed_alone():
+    pieces = ["class", "new A1()", "$x1", "$x2", "$this->a1", "->", "go2(", "private B1 $a1;", "'12'", '"3', "%", "1.5", "0x1F", "@A1(", "[", "]", "(", ")", "{", "}", "#[", "=", "a1.b2", "::", "<", ",", ";", "\n", "function f1(A1 $x1)", "=>", "for", "<?php", "use a1\\B2;", "import {a1 as b2} from '../c1/d'", f"go({'1, ' * 60})"]
+    draw, files = random.Random(7), []
+    for _ in range(60):
+        text = " ".join(draw.choices(pieces, k=draw.randint(1, 30)))
+        for language in ("php", "javascript", "java", "csharp"):
+            files += [(f"a{draw.randint(0, 20)}/b{k}.x", language, re.sub("[0-9]+", lambda m: draw.choice("1 2 12 007 12345678901".split()), text) if k else text) for k in range(4)]
+    # a variable's type counts where the names are equal, not where they differ in numbers; long texts are cut alike
+    files += [(f"v{n}.php", "php", f"<?php class A{n} {{ function f(B{n} $x{a}) {{ $x{b}->go({n}); }} }}") for n in range(3) for a in (1, 2) for b in (1, 2)]
+    files += [(f"w{n}.php", "php", f"<?php go('{'a' * 180}', {n}, 'end');") for n in (1, 22, 333, 10**9)]
+    scopes._SHAPES.clear()
+    assert _table(files) == [tuple(r[c] for c in scopes.COLUMNS) for f in files for r in scopes.file_rows(*f)]
+    assert any(isinstance(s, scopes._Shape) for s in scopes._SHAPES.values())
+    own = [x for x in _table([files[-5]] * 3, ("call",), ("name", "typed"))]
+    assert [dict(zip(scopes.COLUMNS, x))["typed"] for x in own] == ["B2"] * 3
+
+
+def test_generated_files_are_parsed_once_a_shape(monkeypatch):
+    seen, parse = [], scopes.facts_of
+    monkeypatch.setattr(scopes, "facts_of", lambda *f: seen.append(f) or parse(*f))
+    scopes._SHAPES.clear()
+    rows = _table([(f"o/O{n}.php", "php", f"<?php class O{n} extends O{n // 3} {{ function go() {{ Db::name('t{n % 7}')->select(); }} }}") for n in range(300)])
+    assert len(seen) <= 4 and len({r[0] for r in rows}) == 300
+
+
+def test_sites_need_no_graph(spark, monkeypatch):
+    from loomspark.plans import queries_source, registry
+
+    monkeypatch.setattr(queries_source, "_BUILT", {})
+    monkeypatch.setattr(queries_source, "stage", lambda df: pytest.fail("a stage is written"))
+    assert registry.queries()["source_graph_sites"](spark, "/root/testdata/sf0.001").count() == 9
