@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.staging import stage
 from ..sources import scopes
-from .build import SITE_COLUMNS, SITE_FAMILIES, call_sites, graph_of
+from .build import SITE_COLUMNS, SITE_FAMILIES, call_sites, graph_of, named_edges
 from .projection import Graph
 from .registry import query
 
@@ -60,12 +60,7 @@ UNION ALL SELECT DISTINCT CASE WHEN l_returnflag = 'R' THEN 'WritesDb' ELSE 'Rea
 
 @query("source_graph_edges", _EDGES, graph=False)
 def source_graph_edges(g: Graph):
-    parts = _built(g)
-    label = F.when(F.col("kind") == "Table", F.col("name")).otherwise(F.col("fqn"))
-    names = parts["nodes"].where("kind in ('Class', 'Method', 'Table')").select("id", label.alias("label"))
-    own = parts["edges"].where("kind in ('Extends', 'Calls', 'ReadsDb', 'WritesDb')")
-    own = own.join(names.select(F.col("id").alias("from_id"), F.col("label").alias("source")), "from_id")
-    return own.join(names.select(F.col("id").alias("to_id"), F.col("label").alias("target")), "to_id").select("kind", "source", "target")
+    return named_edges(lambda families, columns: scopes.parse(_files(g), "", families, columns))
 
 
 _MARKS = f"""

@@ -170,3 +170,46 @@ def test_sites_need_no_graph(spark, monkeypatch):
     monkeypatch.setattr(queries_source, "_BUILT", {})
     monkeypatch.setattr(queries_source, "stage", lambda df: pytest.fail("a stage is written"))
     assert registry.queries()["source_graph_sites"](spark, "/root/testdata/sf0.001").count() == 9
+
+
+MORE = {
+    "m/Kin.php": """<?php
+namespace m;
+use app\\model\\UserOrder;
+use function m\\loose as Picked;
+interface Held { }
+class Kin extends Mid implements Held { function a() { $this->deep(); parent::deep(); self::own(); UserOrder::select(); Picked::own(); Other::own(); \\m\\Mid::own(); $this->nowhere(); } function own() { Db::name('User')->find(); $this->own(); } }
+class Mid extends Top { function own() { Db::name('user')->find(); } }
+class Top { function deep() { (new Ring())->turn(); $r = new Ring(); $r->turn(); $r->save(); } }
+class Ring extends Gnir { }
+class Gnir extends Ring { function go() { $this->turn(); } }
+function loose($x) { Db::name('x')->find(); $k = new Kin(); $k->a(); }
+class Other2 { public $a = 1; function select() { UserOrder::create([]); } }
+""",
+    "m/other.php": "<?php\nnamespace n;\nclass Other { function own() { } }\nclass Model1 { function find() { $this->find(); Model1::find(); Base::find(); } }\n",
+}
+
+
+def test_named_edges_are_those_of_the_graph(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from loomspark.plans import build
+
+    texts = FILES | STACKS | MORE
+    rows = [(path, {"php": "php", "js": "javascript", "ts": "javascript", "java": "java", "cs": "csharp", "rs": "rust", "py": "python", "rb": "ruby"}.get(path.rsplit(".", 1)[1]), text.encode()) for path, text in texts.items()]
+    files = spark.createDataFrame([r for r in rows if r[1]], "path string, language string, content binary")
+    schema = spark.createDataFrame([], "table string, columns array<string>")
+    parts = build.graph_of(build.stage(scopes.parse(files, "")), schema)
+    names = {n.id: n.name if n.kind == "Table" else n.fqn for n in parts["nodes"].where(F.col("kind").isin("Class", "Method", "Table")).collect()}
+    wanted = {(e.kind, names[e.from_id], names[e.to_id]) for e in parts["edges"].where("kind in ('Extends', 'Calls', 'ReadsDb', 'WritesDb')").collect() if e.from_id in names and e.to_id in names}
+    found = [tuple(r) for r in build.named_edges(lambda families, columns: scopes.parse(files, "", families, columns)).collect()]
+    assert len(found) == len(set(found)) and set(found) == wanted
+    assert ("Calls", "m\\Kin::a", "m\\Top::deep") in wanted and ("WritesDb", "m\\Other2::select", "user_order") in wanted
+
+
+def test_edges_write_no_whole_facts(spark, monkeypatch):
+    from loomspark.plans import queries_source, registry
+
+    monkeypatch.setattr(queries_source, "_BUILT", {})
+    monkeypatch.setattr(queries_source, "graph_of", lambda *a: pytest.fail("the whole graph is built"))
+    assert registry.queries()["source_graph_edges"](spark, "/root/testdata/sf0.001").count() > 0
